@@ -20,7 +20,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def remainder(key, n: int):
+    """crc32 of the key's decimal text, modulo n."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, lambda key: remainder(key, 3) != 1)
+    held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held, "text"), model).drop("text")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda key: remainder(key, 4) != 2)
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held, "text"), model, threshold=0.3).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op7_langid": op7_langid,
+    "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}
