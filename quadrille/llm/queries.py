@@ -25,6 +25,19 @@ def remainder(key, n: int):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    out = linededup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "removed_chunks", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -34,6 +47,36 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held, "text"), model).drop("text")
 
 
+#: (verdict, host, path)
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Pages of hosts with this label are on the list of URLs.
+LISTED_LABEL = "spam-farm"
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter as u
+
+    pages = table(spark, sf_dir, "pages").select("page_id", u.host(F.col("url")).alias("host"), u.path(F.col("url")).alias("path"))
+    pages = pages.withColumn("canonical", u.canonical(F.col("host"), F.col("path")))
+    listed = pages.where(F.concat(F.lit("."), "host").contains(f".{LISTED_LABEL}."))
+    judged = u.mark_listed(pages, "canonical", listed, "canonical")
+    rule, verdict = u.best_rule(F.col("host"), F.col("path"), RULES)
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+
+
+OP8_SQL = r"""
+WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') END AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE contains('.' || host, '.spam-farm.') AND canonical IS NOT NULL),
+r(said, h, s) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
+m AS (SELECT c.page_id, c.host, c.path, c.canonical, arg_max(r.h || r.s, length(r.h || r.s)) AS rule, arg_max(r.said, length(r.h || r.s)) AS said
+  FROM c LEFT JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.s) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM m
+""".replace("\\\\", "\\")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -43,9 +86,31 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held, "text"), model, threshold=0.3).drop("text")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system')
+SELECT t.conv_id, t.turn, v.perspective, t.speaker,
+  CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = v.perspective THEN 'assistant' ELSE 'user' END AS chat_role,
+  CASE WHEN t.speaker = 'system' THEN '<|system|>' WHEN t.speaker = v.perspective THEN '<|assistant|>' ELSE '<|user name=' || t.speaker || '|>' END
+    || chr(10) || t.body || '<|end|>' || chr(10) AS segment,
+  t.speaker = v.perspective AS train
+FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op7_langid": op7_langid,
+    "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_urls": OP8_SQL, "op10_chat": OP10_SQL}
