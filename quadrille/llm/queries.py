@@ -32,12 +32,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "removed_chunks", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding
+
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -107,7 +125,10 @@ FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_suffixes": op4_suffixes,
     "op5_decontaminate": op5_decontaminate,
+    "op6_embeddings": op6_embeddings,
     "op7_langid": op7_langid,
     "op8_urls": op8_urls,
     "op9_toxicity": op9_toxicity,
