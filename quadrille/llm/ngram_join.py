@@ -5,8 +5,9 @@ are one node.  Jaccard distance is a metric, so pivots split the nodes of a bloc
 into regions: with link radius r, whatever lies within r of the pivot is its core;
 a node farther than 2r from the pivot cannot link to a core node; those between
 are boundary nodes, replicated against the core nodes that the triangle inequality
-leaves; all nodes outside the core go on with a new pivot, region by region, until
-nothing is open.  Nodes already known to be in one group are not compared again.
+leaves; the nodes outside the core go on with new pivots, block by block, four times
+as many in each round, until nothing is open.  A pivot meets its whole block; nodes
+known to be in one group are not compared again.
 
 Pivots alone cannot tell unrelated texts apart (their distances to any pivot are
 all about 1, inside every window), so the first split uses projections: hashes are
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, linked_groups
 
-#: Blocks up to this many open nodes are compared at once instead of by pivots.
+#: Pivots of a block in the second round; blocks of so many open nodes are finished by it.
 SMALL = 16
 MEMO_WORDS = 500_000
 A = np.uint64(0x9E3779B97F4A7C15)
@@ -162,16 +163,27 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, node, g, n, pivot) of the blocks in which nodes of two groups or more are left."""
-    size = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("n > 1 and _g0 <> _g1")
+    """(sig, node, g, n, print) of the blocks in which nodes of two groups or more are left; print tells a block's set of nodes."""
+    size = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("n > 1 and _g0 <> _g1")
     return scratch.keep(rows.join(size.drop("_g0", "_g1"), "sig"))
 
 
-def _inside(open_: DataFrame) -> DataFrame:
-    """The pairs within blocks of at most SMALL nodes."""
-    small = open_.where(F.col("n") <= SMALL)
-    a, b = small.select("sig", F.col("node").alias("a"), F.col("g").alias("ga")), small.select("sig", F.col("node").alias("b"), F.col("g").alias("gb"))
-    return a.join(b, "sig").where("a < b and ga <> gb").select("a", "b")
+def _unlike(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """One of the blocks with the same nodes, its nodes numbered by k from 1."""
+    from pyspark.sql import Window
+
+    one = blocks.groupBy("n", "print").agg(F.min("sig").alias("sig"))
+    kept = blocks.join(one.select("sig"), "sig", "left_semi")
+    return scratch.keep(kept.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))))
+
+
+def _with_pivots(blocks: DataFrame, pivots: int) -> DataFrame:
+    """(a, b): each block's first nodes with all its others, unless they are in one group already."""
+    from pyspark.sql import Window
+
+    b = blocks if "k" in blocks.columns else blocks.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node")))
+    first = b.where(F.col("k") <= pivots).select("sig", F.col("node").alias("a"), F.col("g").alias("_ga"))
+    return first.join(b.select("sig", F.col("node").alias("b"), F.col("g").alias("_gb")), "sig").where("a < b and _ga <> _gb").select("a", "b")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -200,34 +212,37 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     linked = (100 * F.col("i") >= percent * F.col("u"))
     r, r2 = 100 - percent, 2 * (100 - percent)
     distance = 100 * (1 - F.col("i") / F.col("u"))
-    links, groups, done, depth = None, None, None, 0
+    # first round: one pivot for each block, its core, and the boundary nodes that may link to the core
+    done = scratch.keep(_measured(pairs, sets))
+    links = scratch.keep(done.where(linked).select("a", "b"))
+    groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
+    named = block.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d"), linked.alias("core")), ["pivot", "node"], "left").join(groups, "node", "left")
+    named = named.select("sig", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core"), F.coalesce("component_id", "node").alias("g"))
+    rest = named.where("not core")
+    edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"))
+    core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"))
+    window = edge.join(core, "sig").where((F.col("gx") != F.col("gy")) & (F.col("dy") >= F.col("dx") - r - 1e-6)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    left = _open(rest.select("sig", "node", "g"), scratch)
+    pairs = window.union(_with_pivots(left.where(F.col("n") <= SMALL), SMALL))
+    # blocks that stay large are split by pairs of their classes; a set of nodes that several blocks share goes on once
+    large = left.where(F.col("n") > SMALL).select("sig", "node", "g")
+    twice = large.join(large.select(F.col("sig").alias("sig2"), "node"), "node").where("sig < sig2")
+    block = _unlike(_open(twice.select(F.xxhash64("sig", "sig2").alias("sig"), "node", "g"), scratch), scratch)
+    pivots = SMALL
     while True:
+        pairs = scratch.keep(pairs.union(_with_pivots(block, pivots)).distinct().join(done, ["a", "b"], "left_anti"))
         known = scratch.keep(_measured(pairs, sets))
         new = known.where(linked).select("a", "b")
-        links = scratch.keep(new if links is None else links.union(new))
-        done = known if done is None else scratch.keep(done.union(known))
-        groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-        # every block with distances to its pivot and the groups so far
-        named = block.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d"), linked.alias("core")), ["pivot", "node"], "left").join(groups, "node", "left")
-        named = named.select("sig", "node", "pivot", F.coalesce("d", F.when(F.col("node") == F.col("pivot"), 0.0)).alias("d"), F.coalesce("core", F.col("node") == F.col("pivot")).alias("core"), F.coalesce("component_id", "node").alias("g"))
-        rest = named.where("not core")
-        edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"))
-        core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"))
-        window = edge.join(core, "sig").where((F.col("gx") != F.col("gy")) & (F.col("dy") >= F.col("dx") - r - 1e-6)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        open_ = _open(rest.select("sig", "node", "g"), scratch)
-        inside = _inside(open_)
-        large = open_.where(F.col("n") > SMALL)
-        if depth == 0 and not large.isEmpty():
-            left, right = large.select("sig", "node", "g"), large.select(F.col("sig").alias("sig2"), "node")
-            open_ = _open(left.join(right, "node").where("sig < sig2").select(F.xxhash64("sig", "sig2").alias("sig"), "node", "g"), scratch)
-            inside = inside.union(_inside(open_))
-            large = open_.where(F.col("n") > SMALL)
-        depth += 1
-        to_pivot = large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        pairs = scratch.keep(window.union(to_pivot).union(inside).distinct().join(done, ["a", "b"], "left_anti"))
-        block = scratch.keep(large.select("sig", "node", "pivot"))
-        if pairs.isEmpty() and block.isEmpty():
+        if not new.isEmpty():
+            links = scratch.keep(links.union(new))
+            groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
+        done = scratch.keep(done.select("a", "b").union(known.select("a", "b")))
+        # a pivot has met its whole block and leaves it; the others go on with more pivots
+        others = block.where(F.col("k") > pivots).select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("g"))
+        block = _unlike(_open(others, scratch), scratch)
+        if block.isEmpty():
             break
+        pairs, pivots = pairs.limit(0), pivots * 4
     named = base.join(groups, "node", "left").select("_key", "n_shingles", "node", F.coalesce("component_id", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
     return named.join(low, "_g", "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_low", "_key").alias("component_id"))
