@@ -487,3 +487,75 @@ def tile_interior_pg(spark, sf_dir):
     edges = layer(spark, sf_dir, "polygon").where("id <= 3")
     got = cells.ring_cells(edges, 14, ["status"]).where((F.col("col") == IX) & (F.col("row") == IY))
     return got.groupBy("topo", "status").agg(F.count("*").alias("n"))
+
+
+# --- drawn tiles, files (no SQL) ---------------------------------------------------------------
+
+VSTYLE = {g: {"single": s["single"], "class": s["class"], "rule": s["rule"]} for g, s in STYLES.items()}
+
+
+def _draw_query(geometry: str, style: st.Style, box):
+    def run(spark, sf_dir):
+        from quadrille.operators import vector
+
+        if geometry == "point":
+            return vector.draw(fx.points(spark, sf_dir).withColumn("item", F.col("flag")), style, geometry, VZ, VX, VY, box)
+        f = fx.lines(spark, sf_dir).withColumnRenamed("etype", "item") if geometry == "line" else fx.rings(spark, sf_dir).select("id", "coords", F.col("status").alias("item"))
+        return vector.draw(f, style, geometry, Z, X, Y, None if box is None else CUT)
+
+    return run
+
+
+for _g in ITEMS:
+    for _kind, _style in VSTYLE[_g].items():
+        for _range, _box in (("", None), ("_range", VCUT)):
+            query(f"vtile_{_kind}{_range}_{SHORT[_g]}")(_draw_query(_g, _style, _box))
+
+
+@query("tile_png")
+def tile_png(spark, sf_dir):
+    from quadrille.sources import png
+
+    return png.tiles(QUERIES["tile_single_pt"](spark, sf_dir))
+
+
+def _folder(spark) -> str:
+    """A new folder where all executors see it."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+
+
+@query("pyramid_persist", f"WITH {POINTS} {_point_levels}")
+def pyramid_persist(spark, sf_dir):
+    path = _folder(spark)
+    base = cells.point_cells(fx.points(spark, sf_dir).withColumnRenamed("flag", "item"), 8, ["item"])
+    cells.persist(cells.pyramid(base, 8, 4, ["item"]), path)
+    return spark.read.parquet(path).select("level", "col", "row", "item", "m")
+
+
+@query("scan_csv", f"WITH {POINTS} SELECT id, flag FROM points")
+def scan_csv(spark, sf_dir):
+    from quadrille.sources import shapefile
+
+    path = _folder(spark)
+    fx.points(spark, sf_dir).select("id", "x", "y", "flag").write.csv(path, header=True)
+    return shapefile.read_csv(spark, path, "x", "y", "3857", "id long, x double, y double, flag string").select("id", "flag")
+
+
+@query("scan_shapefile")
+def scan_shapefile(spark, sf_dir):
+    """Regions of the star schema as one-ring shapes, written and read again."""
+    from quadrille.sources import shapefile
+
+    path = _folder(spark).removeprefix("file:")
+    import os
+
+    os.makedirs(path)
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()]  # five rows
+    shapes = (([[(k, k), (k + 1.0, k), (k + 1.0, k + 1.0), (k, k)]], {"name": n}) for k, n in rows)
+    shapefile.write(f"{path}/region.shp", "polygon", shapes, [("name", 25)])
+    spark.dataSource.register(shapefile.Shapefile)
+    got = spark.read.format("quadrille-shp").load(f"{path}/region.shp")
+    return got.select("id", "kind", F.size("parts").alias("rings"), F.col("attrs")["name"].alias("name"))
