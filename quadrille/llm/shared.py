@@ -25,7 +25,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

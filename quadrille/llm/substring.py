@@ -7,7 +7,7 @@ left after the last digit are exactly the repeated windows.
 The first digit is content-defined: of every SPAN - GRAM + 1 neighbouring
 GRAM-byte hashes the least one is an anchor, so each window holds an anchor, the
 same one in each of its copies.  Windows can only be equal if their anchors and
-the offsets to them are.  Anchors (one in about 185 bytes) are dealt by hash; those
+the offsets to them are.  Anchors (one in about 137 bytes) are dealt by hash; those
 that stand once are dropped.  Of an anchor with equal surroundings only one
 occurrence goes on, with the bytes around it (no window reaches farther); the
 remaining digits, four fingerprints of SPAN / 4 bytes each, are sorted there.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-SPAN, GRAM, GROUP = 400, 32, 4000
+SPAN, GRAM, GROUP = 400, 128, 4000
 LEFT = SPAN - GRAM  # bytes before an anchor that a window with it can reach
 DIGITS = 4
 PART = SPAN // DIGITS
