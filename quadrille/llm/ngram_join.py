@@ -5,7 +5,8 @@ are one node.  Jaccard distance is a metric, so pivots split the nodes of a bloc
 into regions: with link radius r, whatever lies within r of the pivot is its core;
 a node farther than 2r from the pivot cannot link to a core node; those between
 are boundary nodes, replicated against the core nodes that the triangle inequality
-leaves; the nodes outside the core go on with new pivots, block by block, four times
+leaves (after each has met one node of the core, which joins most groups in linear
+time); the nodes outside the core go on with new pivots, block by block, four times
 as many in each round, until nothing is open.  A pivot meets its whole block; nodes
 known to be in one group are not compared again.
 
@@ -212,12 +213,45 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     linked = (100 * F.col("i") >= percent * F.col("u"))
     r, r2 = 100 - percent, 2 * (100 - percent)
     distance = 100 * (1 - F.col("i") / F.col("u"))
-    # first round: one pivot for each block, its core, and the boundary nodes that may link to the core
+    # first round: one pivot for each block and its core
     done = scratch.keep(_measured(pairs, sets))
     links = scratch.keep(done.where(linked).select("a", "b"))
     groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-    named = block.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d"), linked.alias("core")), ["pivot", "node"], "left").join(groups, "node", "left")
-    named = named.select("sig", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core"), F.coalesce("component_id", "node").alias("g"))
+    met = block.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d"), linked.alias("core")), ["pivot", "node"], "left")
+    met = scratch.keep(met.select("sig", "pivot", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
+    scratch.drop(block, pairs)
+    done, stale = scratch.keep(done.select("a", "b")), done
+    scratch.drop(stale)
+
+    def learn(pairs: DataFrame) -> None:
+        """Measure the new pairs and bring done, links and groups up to date."""
+        nonlocal done, links, groups
+        pairs = scratch.keep(pairs.distinct().join(done, ["a", "b"], "left_anti"))
+        known = scratch.keep(_measured(pairs, sets))
+        old = [pairs, known, done]
+        if not (new := known.where(linked).select("a", "b")).isEmpty():
+            old += [links, groups]
+            links = scratch.keep(links.union(new))
+            groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
+        done = scratch.keep(done.union(pairs))
+        scratch.drop(*old)
+
+    def in_groups(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "node", "left").withColumn("g", F.coalesce("component_id", "node")).drop("component_id")
+
+    # a node outside the core meets one core node of each of its blocks, and one other node outside: most groups are joined by
+    # this, in time linear in the blocks, before any window or split is spelled out
+    outside = in_groups(met.where("not core")).join(groups.select(F.col("node").alias("pivot"), F.col("component_id").alias("_gp")), "pivot", "left")
+    outside = scratch.keep(outside.where(F.col("g") != F.coalesce("_gp", "pivot")).select("sig", "node", "d", "g"))
+    inner = met.where("core").groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node"), "node"))["node"].alias("y"))
+    outer = outside.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node"), "node"))["node"].alias("y"))
+    near = outside.where(F.col("d") <= r2 + 1e-6).join(inner, "sig").union(outside.join(outer, "sig")).where("node <> y")
+    learn(near.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")))
+    scratch.drop(outside)
+
+    # the boundary nodes that may still link to the core, and the nodes outside
+    named = scratch.keep(in_groups(met))
+    scratch.drop(met)
     rest = named.where("not core")
     edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"))
     core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"))
@@ -227,22 +261,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     # blocks that stay large are split by pairs of their classes; a set of nodes that several blocks share goes on once
     large = left.where(F.col("n") > SMALL).select("sig", "node", "g")
     twice = large.join(large.select(F.col("sig").alias("sig2"), "node"), "node").where("sig < sig2")
-    block = _unlike(_open(twice.select(F.xxhash64("sig", "sig2").alias("sig"), "node", "g"), scratch), scratch)
+    opened = _open(twice.select(F.xxhash64("sig", "sig2").alias("sig"), "node", "g"), scratch)
+    block = _unlike(opened, scratch)
+    scratch.drop(opened)
     pivots = SMALL
     while True:
-        pairs = scratch.keep(pairs.union(_with_pivots(block, pivots)).distinct().join(done, ["a", "b"], "left_anti"))
-        known = scratch.keep(_measured(pairs, sets))
-        new = known.where(linked).select("a", "b")
-        if not new.isEmpty():
-            links = scratch.keep(links.union(new))
-            groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-        done = scratch.keep(done.select("a", "b").union(known.select("a", "b")))
+        learn(pairs.union(_with_pivots(block, pivots)))
         # a pivot has met its whole block and leaves it; the others go on with more pivots
-        others = block.where(F.col("k") > pivots).select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("g"))
-        block = _unlike(_open(others, scratch), scratch)
+        opened = _open(in_groups(block.where(F.col("k") > pivots).select("sig", "node")), scratch)
+        block, stale = _unlike(opened, scratch), block
+        scratch.drop(opened, stale)
         if block.isEmpty():
             break
-        pairs, pivots = pairs.limit(0), pivots * 4
+        pairs, pivots = spark.createDataFrame([], "a long, b long"), pivots * 4
     named = base.join(groups, "node", "left").select("_key", "n_shingles", "node", F.coalesce("component_id", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
     return named.join(low, "_g", "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_low", "_key").alias("component_id"))
