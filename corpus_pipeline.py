@@ -27,10 +27,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word 5-gram Jaccard >= 0.8 the one with the smallest doc_id stays."""
+    """Of documents linked by word 5-gram Jaccard >= 0.8 the one with the smallest doc_id stays.
+
+    Rows that repeat a doc_id become one row; rows without a doc_id are in no group and stay.
+    """
     groups = ngram_join.near_groups(docs.select("doc_id", "text"), n=5, percent=80)
     gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    return known.union(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
