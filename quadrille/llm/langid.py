@@ -68,14 +68,19 @@ def fit(docs: DataFrame, learn=lambda key: F.lit(True), key: str = "doc_id", tex
     names = sorted({y for y, _ in got})
     if not names:
         return [], np.zeros((SIZE, 0)), np.zeros(0)
-    x = normed(np.unpackbits(np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32))
+    packed = np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1)
+
+    def unpacked(at) -> np.ndarray:
+        return normed(np.unpackbits(packed[at], axis=1).astype(np.float32))
+
     y = np.array([y for y, _ in got])
     marks = np.concatenate([np.flatnonzero(y == n)[np.linspace(0, (y == n).sum() - 1, min(LANDMARKS, (y == n).sum())).astype(int)] for n in names])
-    z = x[marks]
+    z = unpacked(marks)
     value, vector = np.linalg.eigh((z @ z.T / len(ORDERS)).astype(np.float64))
     keep = value > 1e-8 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])  # features = K(x, landmarks) @ root
-    phi = (x @ z.T / len(ORDERS)).astype(np.float64) @ root
+    # the rows stay packed but for 128 at a time
+    phi = np.concatenate([(unpacked(slice(i, i + 128)) @ z.T / len(ORDERS)).astype(np.float64) @ root for i in range(0, len(packed), 128)])
     mean = phi.mean(0)
     target = (y[:, None] == np.array(names)).astype(np.float64)
     centred = phi - mean
