@@ -273,7 +273,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         scratch.drop(opened, stale)
         if block.isEmpty():
             break
-        pairs, pivots = spark.createDataFrame([], "a long, b long"), pivots * 4
+        pairs, pivots = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b")), pivots * 4
     named = base.join(groups, "node", "left").select("_key", "n_shingles", "node", F.coalesce("component_id", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
     return named.join(low, "_g", "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_low", "_key").alias("component_id"))
