@@ -249,3 +249,11 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert 0.3 * docs < len(out) <= docs and len({r.doc_id for r in out}) == len(out)
+
+
+def test_ngram_stage_keeps_rows_without_a_doc_id(spark):
+    import corpus_pipeline
+
+    rows = [(None, "one two three", None, None, 0), (None, "four five six", None, None, 0), (1, "a b c d e f", None, None, 0), (2, "a b c d e f", None, None, 0)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, TEXT), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "four five six"), (0, "one two three"), (1, "a b c d e f")]
