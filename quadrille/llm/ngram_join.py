@@ -11,23 +11,24 @@ as many in each round, until nothing is open.  A pivot meets its whole block; no
 known to be in one group are not compared again.
 
 Pivots alone cannot tell unrelated texts apart (their distances to any pivot are
-all about 1, inside every window), so the first split uses projections: hashes are
-dealt to k classes, and a class's subset is the pivot of the nodes that have exactly
-this subset (projected distance 0).  Two linked sets differ in at most D elements,
-so among the first D + 2 non-empty classes of either one two untouched classes are
-common: no link is lost, and a block that stays large (a passage that very many
-texts share) is split again by pairs of such classes.
+all about 1, inside every window), so the first split is by shared rare hashes.
+All hashes of all rows are counted in BUCKETS counters, which give one total order
+of hashes, rare buckets first.  Of a set with s hashes that links to another one at
+most D = s - ceil(percent * s / 100) are missing there, so linked sets have two of
+their D + 2 first hashes in common: each of these hashes makes a block.  A passage
+that very many texts share comes last in the order and makes blocks only of texts
+that hold little else.  No link is lost; a block that stays large is split again
+by pairs of such hashes.  The counters only bring order: collisions change the
+blocks, never the links.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; fewer than n words are one n-gram; repeated rows are kept, each with its
 key; a null key never becomes a component id unless the whole group has no other.
+percent must be above 50 (below, linked sets may have a single hash in common).
 """
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +40,8 @@ from .shared import Scratch, linked_groups
 #: Pivots of a block in the second round; blocks of so many open nodes are finished by it.
 SMALL = 16
 MEMO_WORDS = 500_000
+#: Counters of hashes (a fixed size: 8 MB wherever they are held) and counters of one row that carries them.
+BUCKETS, PART = 1 << 20, 1 << 10
 A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,61 +73,60 @@ def shingle_set(text: str | None, n: int, memo: _Words) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def bands(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, k) of the half-octave bands in which a set of this size must be findable."""
-    low = lambda b: math.ceil(2 ** (b / 2))
-    own = int(2 * math.log2(size))
-    while low(own + 1) <= size:
-        own += 1
-    while low(own) > size:
-        own -= 1
-    out = [own]
-    b = own + 1
-    while 100 * size >= percent * low(b):
-        out.append(b)
-        b += 1
+def first_hashes(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The D + 2 hashes of a set that come first in the order: linked sets share two of them."""
+    n = len(s)
+    seen = counts[s >> np.uint64(44)]  # the upper 20 bits are the bucket; s is sorted, so a stable order breaks ties by hash
+    return s[np.argsort(seen, kind="stable")[: n + (-percent * n // 100) + 2]]
 
-    return [(b, classes(low(b), low(b + 1) - 1, percent)) for b in out]
 
+def _node(s: np.ndarray) -> np.int64:
+    return np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
 
-@lru_cache(None)
-def classes(smallest: int, largest: int, percent: int) -> int:
-    """The smallest number of classes with which sets of these sizes fill at least D + 2 of them.
 
-    "At least" but for a chance below 1e-9 for a set, by the union bound over the
-    choices of D + 1 classes that would hold all hashes.
-    """
-    sizes = {smallest, largest, *(min(largest, max(smallest, -(-d * percent // (100 - percent)))) for d in range((100 - percent) * smallest // percent, (100 - percent) * largest // percent + 1))}
-    k = 1
-    for n in sizes:
-        d = (100 - percent) * n // percent + 1
-        if d == 1:
-            continue  # only equal sets link
-        k = max(k, d + 1)
-        while math.lgamma(k + 1) - math.lgamma(d + 1) - math.lgamma(k - d + 1) + n * math.log(d / k) > math.log(1e-9):
-            k += 1
-    return k
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the subsets in the first D + 2 non-empty classes, for each band: linked sets share two of them."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    allowed = (100 - percent) * len(s) // percent + 1
-    out = []
-    scrambled = mix(s + A)
-    for band, k in bands(len(s), percent):
-        cls = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        take = starts[: allowed + 1]
-        end = starts[allowed + 1] if len(starts) > allowed + 1 else len(s)
-        sums = np.add.reduceat(scrambled[:end], take)
-        out.append(mix(sums + mix(cls[take] * A + np.uint64(band * 65_537 + 1))))
-    return np.concatenate(out)
-
-
-def _prepared(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(key, n_shingles, node, sigs)"""
+def _counted(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, n_shingles, node) for each row; for each partition, rows (part, counts) with its counters that are not all 0."""
+    kind = docs.schema[key].dataType.simpleString()
+    key_type = None
+
+    def run(batches):
+        nonlocal key_type
+        memo, counts = _Words(), np.zeros(BUCKETS, np.uint32)
+        for whole in batches:
+            key_type = whole.schema.field(0).type
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                sets = [shingle_set(t, n, memo) for t in batch.column(1).to_pylist()]
+                if any(map(len, sets)):
+                    counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                none = [pa.nulls(len(sets), kind) for kind in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), *none], names=["_key", "n_shingles", "node", "part", "counts"])
+        parts = counts.reshape(-1, PART)
+        held = np.flatnonzero(parts.any(axis=1))
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(held), key_type), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(held, pa.int32()), pa.array([parts[i].tobytes() for i in held], pa.binary())], names=["_key", "n_shingles", "node", "part", "counts"])
+
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_shingles long, node long, part int, counts binary")
+
+
+def _totals(parts: DataFrame) -> np.ndarray:
+    """The counters of all partitions, summed part by part on the executors."""
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[part] = held.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
+
+    total = np.zeros((BUCKETS // PART, PART), np.int64)
+    for part, counts in parts.repartition("part").mapInArrow(add, "part int, counts binary").collect():  # BUCKETS numbers
+        total[part] = np.frombuffer(counts, np.int64)
+    return total.ravel()
+
+
+def _signed(docs: DataFrame, key: str, text: str, n: int, percent: int, counts) -> DataFrame:
+    """(key, node, sigs) of the rows with words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -132,26 +134,23 @@ def _prepared(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                size, node, sigs = [], [], []
-                for t in batch.column(1).to_pylist():
-                    s = shingle_set(t, n, memo)
-                    size.append(len(s))
-                    node.append(np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)) if len(s) else None)
-                    sigs.append(signatures(s, percent).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["_key", "n_shingles", "node", "sigs"])
+                sets = [shingle_set(t, n, memo) for t in batch.column(1).to_pylist()]
+                sigs = [first_hashes(s, counts.value, percent).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["_key", "node", "sigs"])
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_shingles long, node long, sigs array<long>")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"_key {kind}, node long, sigs array<long>")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(node, s): the sets as sorted arrays, from (node, _text)."""
+    """(node, s): the sets as sorted arrays, from (node, _text); texts of other nodes (a key on several texts) are passed over."""
 
     def run(batches):
         memo = _Words()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, n, memo).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
+                found = [(k, s) for k, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if len(s := shingle_set(t, n, memo)) and _node(s) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["node", "s"])
 
     return texts.mapInArrow(run, "node long, s array<long>")
 
@@ -193,12 +192,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     component_id is the smallest key reachable by links (100 * intersection >=
     percent * union), the row's own included.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
-    base = scratch.keep(_prepared(docs, key, text, n, percent))
+    counted = scratch.keep(_counted(docs, key, text, n))
+    counts = spark.sparkContext.broadcast(_totals(counted.where("part is not null").select("part", "counts")))
+    base = counted.where("part is null").select("_key", "n_shingles", "node")
     heads = base.where("node is not null").groupBy("node").agg(F.min("_key").alias("_key"))
     # signatures of one row for each node, dealt by signature; the smallest node of a block is its first pivot
-    rows = base.join(heads.select("_key", "node"), ["_key", "node"], "left_semi").select("node", F.explode("sigs").alias("sig"))
+    rows = _signed(docs, key, text, n, percent, counts).join(heads.select("_key", "node"), ["_key", "node"], "left_semi").dropDuplicates(["_key", "node"]).select("node", F.explode("sigs").alias("sig"))
     from pyspark.sql import Window
 
     by_sig = Window.partitionBy("sig")
