@@ -14,17 +14,17 @@ Pivots alone cannot tell unrelated texts apart (their distances to any pivot are
 all about 1, inside every window), so the first split is by shared rare hashes.
 All hashes of all rows are counted in BUCKETS counters, which give one total order
 of hashes, rare buckets first.  Of a set with s hashes that links to another one at
-most D = s - ceil(percent * s / 100) are missing there, so linked sets have two of
-their D + 2 first hashes in common: each of these hashes makes a block.  A passage
-that very many texts share comes last in the order and makes blocks only of texts
-that hold little else.  No link is lost; a block that stays large is split again
-by pairs of such hashes.  The counters only bring order: collisions change the
-blocks, never the links.
+most D = s - ceil(percent * s / 100) are missing there, so the first hash that two
+linked sets have in common is among the first D + 1 of both: each of these hashes
+makes a block, and a pair is only asked for where its places in the order allow a
+link if nothing before was common.  A passage that very many texts share comes last
+in the order and makes blocks only of texts that hold little else; their pivot is
+the one that holds least.  No link is lost.  The counters only bring order:
+collisions change the blocks, never the links.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; fewer than n words are one n-gram; repeated rows are kept, each with its
 key; a null key never becomes a component id unless the whole group has no other.
-percent must be above 50 (below, linked sets may have a single hash in common).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, linked_groups
 
-#: Pivots of a block in the second round; blocks of so many open nodes are finished by it.
+#: Pivots of a block in the round after the first; blocks of so many open nodes are finished by it.
 SMALL = 16
 MEMO_WORDS = 500_000
 #: Counters of hashes (a fixed size: 8 MB wherever they are held) and counters of one row that carries them.
@@ -74,10 +74,10 @@ def shingle_set(text: str | None, n: int, memo: _Words) -> np.ndarray:
 
 
 def first_hashes(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The D + 2 hashes of a set that come first in the order: linked sets share two of them."""
+    """The D + 1 hashes of a set that come first in the order: linked sets share one of them."""
     n = len(s)
     seen = counts[s >> np.uint64(44)]  # the upper 20 bits are the bucket; s is sorted, so a stable order breaks ties by hash
-    return s[np.argsort(seen, kind="stable")[: n + (-percent * n // 100) + 2]]
+    return s[np.argsort(seen, kind="stable")[: n + (-percent * n // 100) + 1]]
 
 
 def _node(s: np.ndarray) -> np.int64:
@@ -126,7 +126,7 @@ def _totals(parts: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str, n: int, percent: int, counts) -> DataFrame:
-    """(key, node, sigs) of the rows with words."""
+    """(key, node, size, sigs) of the rows with words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -136,9 +136,9 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, percent: int, counts)
                 batch = whole.slice(start, 512)
                 sets = [shingle_set(t, n, memo) for t in batch.column(1).to_pylist()]
                 sigs = [first_hashes(s, counts.value, percent).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["_key", "node", "sigs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=["_key", "node", "size", "sigs"])
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"_key {kind}, node long, sigs array<long>")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"_key {kind}, node long, size int, sigs array<long>")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -162,28 +162,34 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", i.alias("i"), (F.size("_s") + F.size("_t") - i).alias("u"))
 
 
-def _open(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, node, g, n, print) of the blocks in which nodes of two groups or more are left; print tells a block's set of nodes."""
-    size = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")).where("n > 1 and _g0 <> _g1")
-    return scratch.keep(rows.join(size.drop("_g0", "_g1"), "sig"))
+#: Of a block's rows: the number of the set's hashes, and of those that come before the block's own.
+PLACE = ("size", "pos")
 
 
-def _unlike(blocks: DataFrame, scratch: Scratch) -> DataFrame:
-    """One of the blocks with the same nodes, its nodes numbered by k from 1."""
-    from pyspark.sql import Window
+def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int):
+    """Whether two sets (size, pos) of a block can link if the block's hash is the first that they have in common."""
+    i = F.least(F.col(a[0]) - F.col(a[1]), F.col(b[0]) - F.col(b[1]))
+    return 100 * i >= percent * (F.col(a[0]) + F.col(b[0]) - i)
 
-    one = blocks.groupBy("n", "print").agg(F.min("sig").alias("sig"))
-    kept = blocks.join(one.select("sig"), "sig", "left_semi")
-    return scratch.keep(kept.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))))
 
+def _open(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(sig, node, g, size, pos, k) of the blocks in which nodes of two groups or more are left, numbered by k from 1.
 
-def _with_pivots(blocks: DataFrame, pivots: int) -> DataFrame:
-    """(a, b): each block's first nodes with all its others, unless they are in one group already."""
+    Nodes that cannot link even to the node with the fewest hashes before the block's leave.
+    """
     from pyspark.sql import Window
 
-    b = blocks if "k" in blocks.columns else blocks.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("node")))
-    first = b.where(F.col("k") <= pivots).select("sig", F.col("node").alias("a"), F.col("g").alias("_ga"))
-    return first.join(b.select("sig", F.col("node").alias("b"), F.col("g").alias("_gb")), "sig").where("a < b and _ga <> _gb").select("a", "b")
+    block = rows.groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("pos").alias("_low")).where("_g0 <> _g1")
+    left = rows.join(block.select("sig", "_low"), "sig").where(100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("_low"))).drop("_low")
+    return scratch.keep(left.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("pos", "size", "node"))))
+
+
+def _with_pivots(blocks: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(a, b): each block's first nodes with all its later ones, unless they are in one group already or cannot link."""
+    first = blocks.where(F.col("k") <= pivots).select("sig", F.col("node").alias("x"), F.col("g").alias("gx"), F.col("k").alias("kx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
+    later = blocks.where("k > 1").select("sig", F.col("node").alias("y"), F.col("g").alias("gy"), F.col("k").alias("ky"), F.col("size").alias("sy"), F.col("pos").alias("py"))
+    both = first.join(later, "sig").where("kx < ky and gx <> gy").where(_may_link(("sx", "px"), ("sy", "py"), percent))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -192,22 +198,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     component_id is the smallest key reachable by links (100 * intersection >=
     percent * union), the row's own included.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be above 50")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     counted = scratch.keep(_counted(docs, key, text, n))
     counts = spark.sparkContext.broadcast(_totals(counted.where("part is not null").select("part", "counts")))
     base = counted.where("part is null").select("_key", "n_shingles", "node")
     heads = base.where("node is not null").groupBy("node").agg(F.min("_key").alias("_key"))
-    # signatures of one row for each node, dealt by signature; the smallest node of a block is its first pivot
-    rows = _signed(docs, key, text, n, percent, counts).join(heads.select("_key", "node"), ["_key", "node"], "left_semi").dropDuplicates(["_key", "node"]).select("node", F.explode("sigs").alias("sig"))
+    # signatures of one row for each node, dealt by signature; the first pivot of a block is the node with the fewest hashes before its own
+    rows = _signed(docs, key, text, n, percent, counts).join(heads.select("_key", "node"), ["_key", "node"], "left_semi").dropDuplicates(["_key", "node"]).select("node", "size", F.posexplode("sigs").alias("pos", "sig"))
     from pyspark.sql import Window
 
     by_sig = Window.partitionBy("sig")
-    block = rows.select("sig", "node", F.min("node").over(by_sig).alias("pivot"), F.max("node").over(by_sig).alias("_top")).where("pivot <> _top").drop("_top")
-    block = scratch.keep(block)
-    pairs = scratch.keep(block.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    block = rows.select("sig", "node", *PLACE, F.min(F.struct("pos", "size", "node")).over(by_sig)["node"].alias("pivot"), F.count("*").over(by_sig).alias("_n")).where("_n > 1").drop("_n")
+    block = scratch.keep(block.select("*", F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
+    pairs = scratch.keep(block.where("node <> pivot").select("a", "b").distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = heads.join(nodes, "node", "left_semi")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select("node", "_text")
@@ -220,8 +224,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     done = scratch.keep(_measured(pairs, sets))
     links = scratch.keep(done.where(linked).select("a", "b"))
     groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-    met = block.join(done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d"), linked.alias("core")), ["pivot", "node"], "left")
-    met = scratch.keep(met.select("sig", "pivot", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
+    met = block.join(done.select("a", "b", distance.alias("d"), linked.alias("core")), ["a", "b"], "left")
+    met = scratch.keep(met.select("sig", "pivot", "node", *PLACE, F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
     scratch.drop(block, pairs)
     done, stale = scratch.keep(done.select("a", "b")), done
     scratch.drop(stale)
@@ -256,27 +260,17 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     named = scratch.keep(in_groups(met))
     scratch.drop(met)
     rest = named.where("not core")
-    edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"))
-    core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"))
-    window = edge.join(core, "sig").where((F.col("gx") != F.col("gy")) & (F.col("dy") >= F.col("dx") - r - 1e-6)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    left = _open(rest.select("sig", "node", "g"), scratch)
-    pairs = window.union(_with_pivots(left.where(F.col("n") <= SMALL), SMALL))
-    # blocks that stay large are split by pairs of their classes; a set of nodes that several blocks share goes on once
-    large = left.where(F.col("n") > SMALL).select("sig", "node", "g")
-    twice = large.join(large.select(F.col("sig").alias("sig2"), "node"), "node").where("sig < sig2")
-    opened = _open(twice.select(F.xxhash64("sig", "sig2").alias("sig"), "node", "g"), scratch)
-    block = _unlike(opened, scratch)
-    scratch.drop(opened)
-    pivots = SMALL
-    while True:
-        learn(pairs.union(_with_pivots(block, pivots)))
-        # a pivot has met its whole block and leaves it; the others go on with more pivots
-        opened = _open(in_groups(block.where(F.col("k") > pivots).select("sig", "node")), scratch)
-        block, stale = _unlike(opened, scratch), block
-        scratch.drop(opened, stale)
-        if block.isEmpty():
-            break
-        pairs, pivots = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b")), pivots * 4
+    edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
+    core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"), F.col("size").alias("sy"), F.col("pos").alias("py"))
+    window = edge.join(core, "sig").where((F.col("gx") != F.col("gy")) & (F.col("dy") >= F.col("dx") - r - 1e-6) & _may_link(("sx", "px"), ("sy", "py"), percent))
+    learn(window.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    block, pivots = _open(in_groups(rest.select("sig", "node", *PLACE)), percent, scratch), SMALL
+    while not block.isEmpty():
+        # a pivot has met all of its block that it can link to and leaves it; the others go on with more pivots
+        learn(_with_pivots(block, pivots, percent))
+        block, stale = _open(in_groups(block.where(F.col("k") > pivots).select("sig", "node", *PLACE)), percent, scratch), block
+        scratch.drop(stale)
+        pivots *= 4
     named = base.join(groups, "node", "left").select("_key", "n_shingles", "node", F.coalesce("component_id", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
     return named.join(low, "_g", "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_low", "_key").alias("component_id"))
