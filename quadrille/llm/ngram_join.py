@@ -159,7 +159,8 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, i, u): intersection and union sizes of the pairs."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_t")), "b")
     i = F.size(F.array_intersect("_s", "_t"))
-    return both.select("a", "b", i.alias("i"), (F.size("_s") + F.size("_t") - i).alias("u"))
+    # a key with several texts of one set has this set more than once
+    return both.select("a", "b", i.alias("i"), (F.size("_s") + F.size("_t") - i).alias("u")).dropDuplicates(["a", "b"])
 
 
 #: Of a block's rows: the number of the set's hashes, and of those that come before the block's own.
@@ -172,6 +173,11 @@ def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int):
     return 100 * i >= percent * (F.col(a[0]) + F.col(b[0]) - i)
 
 
+def _can_link(percent: int):
+    """Whether a node can link to one that has no more than low hashes before the block's."""
+    return 100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("low"))
+
+
 def _open(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(sig, node, g, size, pos, k) of the blocks in which nodes of two groups or more are left, numbered by k from 1.
 
@@ -179,8 +185,8 @@ def _open(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    block = rows.groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("pos").alias("_low")).where("_g0 <> _g1")
-    left = rows.join(block.select("sig", "_low"), "sig").where(100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("_low"))).drop("_low")
+    block = rows.groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("pos").alias("low")).where("_g0 <> _g1")
+    left = rows.join(block.select("sig", "low"), "sig").where(_can_link(percent)).drop("low")
     return scratch.keep(left.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("pos", "size", "node"))))
 
 
@@ -209,13 +215,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     from pyspark.sql import Window
 
     by_sig = Window.partitionBy("sig")
-    block = rows.select("sig", "node", *PLACE, F.min(F.struct("pos", "size", "node")).over(by_sig)["node"].alias("pivot"), F.count("*").over(by_sig).alias("_n")).where("_n > 1").drop("_n")
+    able = rows.select("sig", "node", *PLACE, F.min("pos").over(by_sig).alias("low")).where(_can_link(percent))
+    block = able.select("sig", "node", *PLACE, F.min(F.struct("pos", "size", "node")).over(by_sig)["node"].alias("pivot"), F.count("*").over(by_sig).alias("_n")).where("_n > 1").drop("_n")
     block = scratch.keep(block.select("*", F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
     pairs = scratch.keep(block.where("node <> pivot").select("a", "b").distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = heads.join(nodes, "node", "left_semi")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").select("node", "_text")
-    sets = scratch.keep(_sets(texts, n).dropDuplicates(["node"]))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").withColumn("_m", F.md5("_text")).dropDuplicates(["_key", "node", "_m"]).select("node", "_text")
+    sets = scratch.keep(_sets(texts, n))
 
     linked = (100 * F.col("i") >= percent * F.col("u"))
     r, r2 = 100 - percent, 2 * (100 - percent)
