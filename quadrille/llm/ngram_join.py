@@ -218,41 +218,44 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     able = rows.select("sig", "node", *PLACE, F.min("pos").over(by_sig).alias("low")).where(_can_link(percent))
     block = able.select("sig", "node", *PLACE, F.min(F.struct("pos", "size", "node")).over(by_sig)["node"].alias("pivot"), F.count("*").over(by_sig).alias("_n")).where("_n > 1").drop("_n")
     block = scratch.keep(block.select("*", F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
-    pairs = scratch.keep(block.where("node <> pivot").select("a", "b").distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = heads.join(nodes, "node", "left_semi")
+    chosen = heads.join(block.select("node"), "node", "left_semi")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").withColumn("_m", F.md5("_text")).dropDuplicates(["_key", "node", "_m"]).select("node", "_text")
     sets = scratch.keep(_sets(texts, n))
 
     linked = (100 * F.col("i") >= percent * F.col("u"))
     r, r2 = 100 - percent, 2 * (100 - percent)
     distance = 100 * (1 - F.col("i") / F.col("u"))
-    # first round: one pivot for each block and its core
-    done = scratch.keep(_measured(pairs, sets))
+    # each node meets one of its pivots, which leaves most blocks with nodes of one group
+    one = block.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    done = scratch.keep(_measured(one.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), sets))
     links = scratch.keep(done.where(linked).select("a", "b"))
     groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-    met = block.join(done.select("a", "b", distance.alias("d"), linked.alias("core")), ["a", "b"], "left")
-    met = scratch.keep(met.select("sig", "pivot", "node", *PLACE, F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
-    scratch.drop(block, pairs)
-    done, stale = scratch.keep(done.select("a", "b")), done
-    scratch.drop(stale)
 
     def learn(pairs: DataFrame) -> None:
         """Measure the new pairs and bring done, links and groups up to date."""
         nonlocal done, links, groups
-        pairs = scratch.keep(pairs.distinct().join(done, ["a", "b"], "left_anti"))
+        pairs = scratch.keep(pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
         known = scratch.keep(_measured(pairs, sets))
         old = [pairs, known, done]
         if not (new := known.where(linked).select("a", "b")).isEmpty():
             old += [links, groups]
             links = scratch.keep(links.union(new))
             groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-        done = scratch.keep(done.union(pairs))
+        done = scratch.keep(done.union(known))
         scratch.drop(*old)
 
     def in_groups(rows: DataFrame) -> DataFrame:
         return rows.join(groups, "node", "left").withColumn("g", F.coalesce("component_id", "node")).drop("component_id")
 
+    # in the other blocks the pivot meets all nodes; those that it links to are its core
+    several = in_groups(block.select("sig", "node")).groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 <> _g1").select("sig")
+    block, stale = scratch.keep(block.join(several, "sig", "left_semi")), block
+    scratch.drop(stale)
+    learn(block.where("node <> pivot").select("a", "b"))
+    met = block.join(done.select("a", "b", distance.alias("d"), linked.alias("core")), ["a", "b"], "left")
+    met = scratch.keep(met.select("sig", "pivot", "node", *PLACE, F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
+    scratch.drop(block)
+
     # a node outside the core meets one core node of each of its blocks, and one other node outside: most groups are joined by
     # this, in time linear in the blocks, before any window or split is spelled out
     outside = in_groups(met.where("not core")).join(groups.select(F.col("node").alias("pivot"), F.col("component_id").alias("_gp")), "pivot", "left")
