@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-The document frequency of every n-gram of the test items is counted over the whole
-corpus; each item keeps its rarest half as seeds (never none, so an item whose
-copies fill the corpus is still found).  Documents that hold a seed are aligned
-with the item around it (Smith-Waterman over words, linear gaps), so edited and
-paraphrased copies score as well.  A pair counts as leaked if the score reaches
-min_share of the score of a full copy.
+Every n-gram of a test item is a seed: one that is rare in the corpus may just be
+one that edits broke, so none is left out for its frequency.  Documents that hold a
+seed are aligned with the item around it (Smith-Waterman over words, linear gaps),
+as far out as gaps can reach without losing min_share, so edited and paraphrased
+copies score as well.  A pair counts as leaked if the score reaches min_share of
+the score of a full copy.  A copy that keeps no NGRAM words in a row, such as one
+with a word put in after every second one, holds no seed.
 
 Test items are taken in blocks of at most BLOCK_ITEMS and BLOCK_BYTES, so what is
 broadcast is bounded; every block meets all documents.
@@ -16,7 +17,7 @@ than one n-gram use their whole sequence; repeated rows give repeated pairs.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 NGRAM, BLOCK_ITEMS, BLOCK_BYTES = 3, 20_000, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-MIN_SHARE, MIN_SEEDS = 0.55, 4
+MIN_SHARE = 0.55
 
 words = re.compile(r"\w+").findall
 
@@ -114,35 +115,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for block in _blocks(benchmark, item_key, item_text):
         shared = spark.sparkContext.broadcast(items := Items(block))
 
-        def count(batches, shared=shared):
-            items, seen = shared.value, Counter()
-            for batch in batches:
-                for t in batch.column(1).to_pylist():
-                    if t:
-                        seen.update(set(items.hits(items.document(t), items.known)[1].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
-
-        # one row for each n-gram of the block: bounded by BLOCK_BYTES
-        frequency = {g: n for g, n in source.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()}
-        by_item: dict[int, set[int]] = defaultdict(set)
-        for code, places in items.grams.items():
-            for k, _ in places:
-                by_item[k].add(code)
-        seeds = set()
-        for codes in by_item.values():
-            ranked = sorted(codes, key=lambda c: (frequency.get(c, 0), c))
-            seeds.update(ranked[: max(MIN_SEEDS, (len(ranked) + 1) // 2)])
-        rare = spark.sparkContext.broadcast(np.array(sorted(seeds), np.int64))
-
-        def align(batches, shared=shared, rare=rare):
-            items, known = shared.value, rare.value
+        def align(batches, shared=shared):
+            items = shared.value
             for batch in batches:
                 out = []
                 for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if not t:
                         continue
                     ids = items.document(t)
-                    out += ((doc, *x) for x in _aligned(items, ids, known, min_share))
+                    out += ((doc, *x) for x in _aligned(items, ids, min_share))
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], names=[key, item_key, "share", "first_word", "last_word"])
 
@@ -151,24 +132,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return made if made is not None else spark.createDataFrame([], schema)
 
 
-def _aligned(items: Items, ids: np.ndarray, known: np.ndarray, min_share: float):
+def _aligned(items: Items, ids: np.ndarray, min_share: float):
     """(item key, share, first word, last word) for every item that a document leaks."""
-    at, codes = items.hits(ids, known)
+    at, codes = items.hits(ids, items.known)
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for pos, code in zip(at.tolist(), codes.tolist(), strict=True):
         for k, i in items.grams[code]:
             size = len(items.rows[k][1])
-            pad = size // 2 + 2
+            pad = int(size * (1 - min_share) * MATCH / -GAP) + 2
             spans[k].append((max(0, pos - i - pad), min(len(ids), pos - i + size + pad)))
     for k, wide in spans.items():
         item_key, item = items.rows[k]
         best = None
+        wide.sort()
         a, b = wide[0]
         for x, y in [*wide[1:], (1 << 60, 1 << 60)]:
             if x <= b and y - a <= 8 * len(item) + 64:
                 b = max(b, y)
                 continue
-            if np.isin(ids[a:b], item).sum() >= min_share * len(item) * 0.6:
+            # no score without matches: each takes another word of the item and of the text
+            if np.isin(ids[a:b], item).sum() >= min_share * len(item) - 1e-9:
                 score, end = smith_waterman(item, ids[a:b])
                 share = score / (MATCH * len(item))
                 if share >= min_share and (best is None or share > best[1]):

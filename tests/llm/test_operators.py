@@ -139,6 +139,19 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("every,copies", [(4, 0), (5, 0), (6, 0), (4, 3), (5, 3), (6, 3)])
+def test_edits_do_not_hide_a_leak(spark, every, copies):
+    """Copies with every few words replaced, beside exact copies that raise the frequency of what survives."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = []
+    for k, item in enumerate(items.orderBy("item_id").collect()):
+        edited = " ".join("changed" if i % every == every - 1 else x for i, x in enumerate(item.text.split()))
+        rows += [(k, item.item_id, "before it " + edited), *((-1, item.item_id, item.text) for _ in range(copies))]
+    df = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, items).collect()}
+    assert {(k, i) for k, i, _ in rows} <= got
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
