@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that occurred before are cut; n_chars follows the text."""
-    out = linededup.drop_repeated_chunks(docs)
+    """Chunks and long runs of lines that occurred before are cut; n_chars follows the text."""
+    out = linededup.drop_repeated_chunks(docs, over_words=linededup.OVER_WORDS)
     length = F.when(F.col("removed_chunks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(docs.columns)
 

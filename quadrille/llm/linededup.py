@@ -6,13 +6,20 @@ into step after an insertion.  A chunk of at least MIN_LINES lines that occurred
 before (smaller document key, then smaller position) is removed once its bytes
 have been compared with those of the first occurrence.
 
+Boundaries seldom fall right around a short passage.  With over_words, a line also
+goes if it lies in a run of lines with more words than that which occurred before,
+whatever surrounds it, one long line included.  Any such run is covered by the
+shortest ones inside it, for each first and for each last line, so these alone are
+hashed; those whose hash repeats are compared by SHA-256.
+
 The documents are shuffled once, by key, and that exchange serves both the texts
 to compare and the rebuilt output.  Chunk hashes are counted with map-side
 combining; bytes travel only for chunks whose hash repeats.
 
 Defined results: a null text stays null, an empty one empty; rows with equal key
 and equal text are one document (they lose the same chunks); with a null key, rows
-count as documents by their text; a text whose chunks all go becomes empty.
+count as documents by their text; a text whose chunks all go becomes empty;
+removed_chunks counts the chunks that lost a line.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, EVERY, MIN_LINES = 2, 3, 2
+#: What the queries give as over_words.
+OVER_WORDS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -50,8 +59,42 @@ def chunk_array(text: Column) -> Column:
     return F.element_at(F.transform(first, bodies), 1)
 
 
-def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with removed_chunks (int) added and the text without repeated chunks."""
+def run_array(text: Column, over_words: int) -> Column:
+    """array<struct<a,n,hash>>: the shortest runs of more than over_words words from each first and to each last line; a is a line, counted from 0."""
+    lines = _lines(text)
+    # words before each line and after the last one
+    sums = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.regexp_count(x, F.lit(r"\S+")))))
+
+    def span(a: Column, end: Column) -> Column:
+        return F.struct(a.alias("a"), (end - a).alias("n"))
+
+    def spans(p: Column) -> Column:
+        last = F.size(p) - 1
+        forward = F.transform(p, lambda w, i: span(i, F.size(F.filter(p, lambda x: x <= w + over_words))))
+        back = F.transform(p, lambda w, i: span(F.size(F.filter(p, lambda x: x < w - over_words)) - 1, i))
+        return F.array_distinct(F.concat(F.filter(forward, lambda r: r["a"] + r["n"] <= last), F.filter(back, lambda r: r["a"] >= 0)))
+
+    def hashed(q: Column) -> Column:
+        return F.transform(spans(q["p"]), lambda r: F.struct(r["a"].alias("a"), r["n"].alias("n"), F.xxhash64(F.slice(q["ls"], r["a"] + 1, r["n"])).alias("hash")))
+
+    return F.element_at(F.transform(F.array(F.struct(sums.alias("p"), lines.alias("ls"))), hashed), 1)
+
+
+def _repeated_runs(base: DataFrame, t: Column, over_words: int) -> DataFrame:
+    """(_id, _runs): the lines (a, n) of each document that lie in a run that occurred before."""
+    runs = base.where(t.isNotNull()).select("_id", F.explode(run_array(t, over_words)).alias("_r"))
+    runs = runs.select("_id", F.col("_r.a").alias("_a"), F.col("_r.n").alias("_n"), F.col("_r.hash").alias("_hash"))
+    again = runs.join(runs.groupBy("_hash").count().where("count > 1").select("_hash"), "_hash", "left_semi")
+    wanted = again.groupBy("_id").agg(F.collect_set(F.struct("_a", "_n")).alias("_want"))
+    found = base.where(t.isNotNull()).join(wanted, "_id").select("_id", F.explode("_want").alias("_w"), _lines(t).alias("_ls"))
+    found = found.select("_id", F.col("_w._a").alias("_a"), F.col("_w._n").alias("_n"), F.unhex(F.sha2(F.array_join(F.slice("_ls", F.col("_w._a") + 1, F.col("_w._n")), "\n"), 256)).alias("_sha"))
+    at = F.struct("_id", "_a")
+    later = found.join(found.groupBy("_sha").agg(F.min(at).alias("_first")), "_sha").where(~at.eqNullSafe(F.col("_first")))
+    return later.groupBy("_id").agg(F.collect_set(F.struct("_a", "_n")).alias("_runs"))
+
+
+def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, over_words: int | None = None) -> DataFrame:
+    """docs with removed_chunks (int) added and the text without repeated chunks and, with over_words, without repeated runs of lines."""
     kept = [c for c in docs.columns if c != "removed_chunks"]
     inner = {c: f"_c{i}" for i, c in enumerate(kept)}
     base = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h")).alias("_id"), *(F.col(c).alias(inner[c]) for c in kept))
@@ -73,6 +116,20 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
     gone = same.groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
     out = base.join(gone, "_id", "left")
-    left = F.filter(F.transform(chunk_array(t), lambda c, i: F.when(~F.array_contains("_gone", i), c["body"])), lambda b: b.isNotNull())
-    text_out = F.when(F.col("_gone").isNull(), t).otherwise(F.array_join(left, "\n")).alias(text)
-    return out.select(*(text_out if c == text else F.col(inner[c]).alias(c) for c in kept), F.coalesce(F.size("_gone"), F.lit(0)).alias("removed_chunks"))
+    if over_words is None:
+        left = F.filter(F.transform(chunk_array(t), lambda c, i: F.when(~F.array_contains("_gone", i), c["body"])), lambda b: b.isNotNull())
+        text_out, removed = F.when(F.col("_gone").isNull(), t).otherwise(F.array_join(left, "\n")), F.size("_gone")
+    else:
+        out = out.join(_repeated_runs(base, t, over_words), "_id", "left")
+
+        def goes(o: Column, i: Column) -> Column:
+            in_run = F.exists("_runs", lambda r: (i >= r["_a"]) & (i < r["_a"] + r["_n"]))
+            return F.struct(o.alias("o"), (F.coalesce(F.array_contains("_gone", o), F.lit(False)) | F.coalesce(in_run, F.lit(False))).alias("gone"))
+
+        owners = F.flatten(F.transform(chunk_array(t), lambda c, i: F.array_repeat(i, c["n"])))
+        marks = F.when(F.col("_gone").isNotNull() | F.col("_runs").isNotNull(), F.transform(owners, goes))
+        out = out.select(*out.columns, marks.alias("_marks"))
+        left = F.filter(F.zip_with(_lines(t), "_marks", lambda x, m: F.when(~m["gone"], x)), lambda x: x.isNotNull())
+        text_out = F.when(F.col("_marks").isNull(), t).otherwise(F.array_join(left, "\n"))
+        removed = F.size(F.array_distinct(F.transform(F.filter("_marks", lambda m: m["gone"]), lambda m: m["o"])))
+    return out.select(*(text_out.alias(text) if c == text else F.col(inner[c]).alias(c) for c in kept), F.greatest(F.coalesce(removed, F.lit(0)), F.lit(0)).alias("removed_chunks"))

@@ -28,7 +28,7 @@ def remainder(key, n: int):
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
-    out = linededup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), over_words=linededup.OVER_WORDS)
     return out.select("doc_id", "removed_chunks", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 

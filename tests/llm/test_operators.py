@@ -67,6 +67,42 @@ def test_line_dedup(spark, docs):
     assert linededup.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_repeated_runs_of_lines_equal_brute_force(spark, docs):
+    """Of the lines that lie in runs of over 50 words which occurred before none stays, no other goes but in whole chunks."""
+    say = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    two, one, blank = [say(1, 30), say(2, 30)], [say(3, 60)], [say(4, 26), "", "", say(5, 26)]
+    texts = [two + one + blank + [say(6, 40)]]
+    texts += [[say(k, 35), *part, say(k + 1, 35)] for k, part in ((10, two), (12, one), (14, blank), (16, two[:1]), (18, one + two))]
+    texts += [[say(20, 20)] * 9, [say(21, 50), say(22, 1), say(23, 50)], [say(21, 50), say(24, 1), say(23, 50)]]
+    added = [(9000 + i, "\n".join(t), None, None, 0) for i, t in enumerate(texts)]
+    rows = docs.where("doc_id is not null").union(spark.createDataFrame([*added, (9100, None, None, None, 0), (9101, "", None, None, 0), (9000, added[0][1], None, None, 0)], TEXT))
+    plain = {(r.doc_id, r.h): r for r in rows.select("doc_id", "text", F.xxhash64("text").alias("h"), linededup.chunk_array(F.col("text")).alias("c")).collect()}
+    seen_runs, seen_chunks, want = set(), set(), {}
+    for at, r in sorted(plain.items()):
+        lines = [] if r.text is None else r.text.split("\n")
+        gone, first = np.zeros(len(lines), bool), 0
+        for c in r.c or []:
+            if c.n >= 2:
+                gone[first : first + c.n] |= c.body in seen_chunks
+                seen_chunks.add(c.body)
+            first += c.n
+        for a in range(len(lines)):
+            words, body = 0, ()
+            for b in range(a, len(lines)):
+                words, body = words + len(lines[b].split()), (*body, lines[b])
+                if words > 50:
+                    if body in seen_runs:
+                        gone[a : b + 1] = True
+                    seen_runs.add(body)
+        want[at] = None if r.text is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    out = linededup.drop_repeated_chunks(rows, over_words=50).collect()
+    assert len(out) == rows.count() and {(r.doc_id, r.text) for r in out} == {(k, t) for (k, _), t in want.items()}
+    kept = {r.doc_id: r for r in out if r.doc_id >= 9000}
+    assert [kept[k].text for k in range(9001, 9006)] == ["\n".join([t[0], t[-1]]) if i != 3 else "\n".join(t) for i, t in enumerate(texts[1:6])]
+    assert kept[9001].removed_chunks > 0 and kept[9004].removed_chunks == 0
+    assert linededup.drop_repeated_chunks(docs.limit(0), over_words=50).count() == 0
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
 def test_ngram_groups_equal_brute_force(spark, docs, n, percent):
     words = "w{} ".format
