@@ -10,8 +10,15 @@ greedy steps from the medoid with a beam, then range expansion: as long as nodes
 within the threshold turn up, their neighbours are visited too.  Whatever is
 returned has its cosine computed in double precision.
 
-A shard of more than SHARD nodes is split by hash, and searched in all its parts,
-so no task holds an unbounded group.  recall() compares with brute force.
+However many centres a dense group has, all of them are searched: each shard knows
+the largest angle (of at most CLOSE times the threshold's) at which one of its nodes
+lies from its nearest centre, and every node that by the triangle inequality can be
+within the threshold of one such node is compared with the whole shard.  PROBE
+bounds only the search among nodes that lie farther from every centre.
+
+A shard of more than SHARD nodes is split by hash, and searched in all its parts;
+the nodes compared with a shard are split likewise, so no task holds an unbounded
+group.  recall() compares with brute force.
 
 Defined results: null, zero or non-finite vectors (or such components) link with
 nothing; vectors of different length never link; an empty table gives no rows;
@@ -30,6 +37,8 @@ from .shared import Scratch, linked_groups
 #: Nodes of a shard; most centres (all are held by every task); overlap; shards searched.
 SHARD, CENTRES, BUILD, PROBE = 1500, 4096, 2, 4
 DEGREE, POOL, ALPHA, BEAM, STEPS = 16, 48, 1.2, 12, 24
+#: Nodes up to this many times the threshold's angle from their centre are found by the bound.
+CLOSE = 1.5
 
 
 def robust_graph(x: np.ndarray) -> np.ndarray:
@@ -124,61 +133,115 @@ def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.where(fine).select(F.col(key).alias("_key"), v.alias("v"))
 
 
-def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], parts: dict | None) -> DataFrame:
-    """(shard, part, query, node, v): parts is None while shards are only counted."""
-    shared = nodes.sparkSession.sparkContext.broadcast((centres, parts))  # CENTRES vectors at most
+def _unit(vectors) -> np.ndarray:
+    x = np.array(vectors.tolist())
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _reach(nodes: DataFrame, centres: dict[int, np.ndarray], angle: float) -> DataFrame:
+    """(shard, n, reach): nodes of each shard, and the largest angle to the centre of those that have no nearer one, up to CLOSE * angle (null: none)."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # CENTRES vectors at most
+
+    def run(frames):
+        for f in frames:
+            for size, g in f.groupby(f["v"].map(len)):
+                sims = _unit(g["v"]) @ shared.value[size].T
+                order = np.argsort(-sims, axis=1)[:, :BUILD]
+                far = np.arccos(np.clip(np.take_along_axis(sims, order, 1), -1, 1))
+                far[(far > CLOSE * angle) | (np.arange(order.shape[1]) > 0)] = -1
+                yield pd.DataFrame({"shard": order.ravel() + size * (CENTRES + 1), "far": far.ravel()})
+
+    far = F.when(F.col("far") >= 0, F.col("far"))
+    return nodes.mapInPandas(run, "shard long, far double").groupBy("shard").agg(F.count("*"), F.max(far))
+
+
+def _asked(nodes: DataFrame, centres: dict[int, np.ndarray], floors: dict[int, np.ndarray]) -> DataFrame:
+    """(shard, n): nodes that have to be compared with each shard."""
+    shared = nodes.sparkSession.sparkContext.broadcast((centres, floors))
+
+    def run(frames):
+        c, floor = shared.value
+        for f in frames:
+            for size, g in f.groupby(f["v"].map(len)):
+                n = (_unit(g["v"]) @ c[size].T >= floor[size]).sum(0)
+                yield pd.DataFrame({"shard": np.flatnonzero(n) + size * (CENTRES + 1), "n": n[n > 0]})
+
+    return nodes.mapInPandas(run, "shard long, n long").groupBy("shard").agg(F.sum("n"))
+
+
+def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], floors: dict[int, np.ndarray], parts: dict, turns: dict) -> DataFrame:
+    """(shard, part, turn, query, node, v): query is 0 for nodes of the shard, 1 for those that search its graph, 2 for those compared with all of it."""
+    shared = nodes.sparkSession.sparkContext.broadcast((centres, floors, parts, turns))
 
     def run(frames):
-        c, split = shared.value
+        c, floor, split, rounds = shared.value
         for f in frames:
             out = []
             for size, g in f.groupby(f["v"].map(len)):
-                x = np.array(g["v"].tolist())
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                order = np.argsort(-(x @ c[size].T), axis=1)[:, : BUILD if split is None else PROBE]
-                for node, v, near in zip(g["node"], g["v"], order, strict=True):
-                    for k, s in enumerate(near):
-                        shard = int(s) + size * (CENTRES + 1)
-                        n = 1 if split is None else split.get(shard, 0)
-                        if k < BUILD:
-                            out.append((shard, hash(int(node) * 2654435761 % 1000003) % n if n else 0, 0, node, v))
-                        if split is not None:
-                            out += [(shard, p, 1, node, v) for p in range(n)]
-            yield pd.DataFrame(out, columns=["shard", "part", "query", "node", "v"])
+                sims = _unit(g["v"]) @ c[size].T
+                order = np.argsort(-sims, axis=1)[:, :PROBE]
+                bound = sims >= floor[size]
+                names, vectors = g["node"].tolist(), g["v"].tolist()
+                for node, v, near, sure in zip(names, vectors, order, bound, strict=True):
+                    for s in near[:BUILD].tolist():
+                        shard = s + size * (CENTRES + 1)
+                        part = hash(node * 2654435761 % 1000003) % split[shard]
+                        out += [(shard, part, u, 0, node, v) for u in range(rounds.get(shard, 1))]
+                    for s in {*near.tolist(), *np.flatnonzero(sure).tolist()}:
+                        shard = s + size * (CENTRES + 1)
+                        turn = hash(node * 40503 % 999983) % rounds.get(shard, 1)
+                        out += [(shard, p, turn, 2 if sure[s] else 1, node, v) for p in range(split.get(shard, 0))]
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=["shard", "part", "turn", "query", "node", "v"])
+                        out = []
+            yield pd.DataFrame(out, columns=["shard", "part", "turn", "query", "node", "v"])
 
-    return nodes.mapInPandas(run, "shard long, part int, query int, node long, v array<double>")
+    return nodes.mapInPandas(run, "shard long, part int, turn int, query int, node long, v array<double>")
 
 
 def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (node, v) with cosine >= threshold that the graphs find."""
+    """(a, b), a < b: pairs of nodes (node, v) with cosine >= threshold that the bound or the graphs find."""
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("v")).count().collect()}
-    centres = {}
+    centres, floors = {}, {}
     for size, n in sizes.items():
         k = min(CENTRES, max(1, round(n / SHARD * BUILD)))
         chosen = nodes.where(F.size("v") == size).orderBy(F.xxhash64(F.lit("centre"), "node"), "node").limit(k).collect()
         c = np.array([r.v for r in chosen])
         centres[size] = c / np.linalg.norm(c, axis=1, keepdims=True)
-    counted = {r[0]: r[1] for r in _dealt(nodes, centres, None).groupBy("shard").count().collect()}  # one row for each centre
-    parts = {s: max(1, -(-n // (2 * SHARD))) for s, n in counted.items()}
+        floors[size] = np.full(len(c), 2.0)
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    parts = {}
+    for shard, n, reach in _reach(nodes, centres, angle).collect():  # one row for each centre
+        parts[shard] = max(1, -(-n // (2 * SHARD)))
+        if reach is not None:
+            floors[shard // (CENTRES + 1)][shard % (CENTRES + 1)] = np.cos(min(reach + angle, np.pi)) - 1e-9
+    turns = {shard: max(1, -(-n // (2 * SHARD))) for shard, n in _asked(nodes, centres, floors).collect()}
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        build, ask = f[f["query"] == 0], f[f["query"] == 1]
-        if not len(build) or not len(ask):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x = np.array(build["v"].tolist())
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        graph, names, out = robust_graph(x), build["node"].to_numpy(), []
+        build, out = f[f["query"] == 0], [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
+        if not len(build) or len(build) == len(f):
+            return out[0]
+        x, names = _unit(build["v"]), build["node"].to_numpy()
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
+
+        ask = f[f["query"] == 2]
+        for s in range(0, len(ask), 500):
+            some = ask.iloc[s : s + 500]
+            i, j = np.nonzero(_unit(some["v"]) @ x.T >= threshold)
+            add(some["node"].to_numpy()[i], names[j])
+        ask = f[f["query"] == 1]
+        graph = robust_graph(x) if len(ask) else None
         for s in range(0, len(ask), 2000):
             some = ask.iloc[s : s + 2000]
-            q = np.array(some["v"].tolist())
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            q = _unit(some["v"])
             i, j = range_search(x, graph, q, threshold - 1e-9)
             exact = np.einsum("id,id->i", q[i], x[j]) >= threshold
-            a, b = some["node"].to_numpy()[i[exact]], names[j[exact]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
+            add(some["node"].to_numpy()[i[exact]], names[j[exact]])
         return pd.concat(out)
 
-    return _dealt(nodes, centres, parts).groupBy("shard", "part").applyInPandas(search, "a long, b long").distinct()
+    return _dealt(nodes, centres, floors, parts, turns).groupBy("shard", "part", "turn").applyInPandas(search, "a long, b long").distinct()
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:

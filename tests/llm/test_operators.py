@@ -207,6 +207,19 @@ def test_vectors(spark):
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_group_over_many_shards(spark, monkeypatch):
+    """A third of the rows lie close together; with small shards they have many centres."""
+    monkeypatch.setattr(embedding, "SHARD", 30)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 32))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(300, 32)) * 0.25 / np.sqrt(32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true, found = (x @ x.T >= 0.9).sum(1) - 1, np.array([got[i] for i in range(900)])
+    assert true[::3].min() > 100 and (found <= true).all() and (found >= 0.9 * true).all()
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, lambda key: F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) != 1)
