@@ -484,8 +484,10 @@ IX, IY = int((7919000 - 18000000 + geo.L) // geo.width(14)), int((geo.L - (61510
 @query("tile_interior_pg", f"""WITH {EDGES}, {rings_sql(14, 'id <= 3')} SELECT topo, status, CAST(count(*) AS BIGINT) AS n FROM pc WHERE col = {IX} AND row = {IY} GROUP BY ALL""")
 def tile_interior_pg(spark, sf_dir):
     """Rings whose interior or boundary holds the cell of a tile: interior ones fill it with one colour."""
-    edges = layer(spark, sf_dir, "polygon").where("id <= 3")
-    got = cells.ring_cells(edges, 14, ["status"]).where((F.col("col") == IX) & (F.col("row") == IY))
+    w, box = geo.width(14), geo.tile_box(14, IX, IY)
+    near = geo.mbb_touches((box[0] - w, box[1] - w, box[2] + w, box[3] + w))
+    rings = ft.with_mbb(fx.rings(spark, sf_dir).select("id", "coords", "status")).where(near).select("id", "coords", "status")
+    got = cells.ring_cells(ft.explode_segments(rings), 14, ["status"]).where((F.col("col") == IX) & (F.col("row") == IY))
     return got.groupBy("topo", "status").agg(F.count("*").alias("n"))
 
 

@@ -33,6 +33,21 @@ def test_equals_sql(spark, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(c.sql(catalog.SQL[name]).df())
 
 
+def test_interior_tile_sees_every_ring(spark):
+    """Rings around the centre of the tile, by ray casting over all orders of sf0.1."""
+    big = "/root/testdata/sf0.1"
+    o = spark.read.parquet(f"{big}/orders.parquet").select("o_orderkey", "o_custkey").toPandas()
+    x0, y0, x1, y1 = geo.tile_box(14, catalog.IX, catalog.IY)
+    px, py, size = (x0 + x1) / 2, (y0 + y1) / 2, (o.o_custkey % 50 + 5) * 100.0
+    cx, cy = (o.o_orderkey * 7919000) % 36000000 - 18000000 + 0.37, (o.o_orderkey * 6151000) % 36000000 - 18000000 + 0.61
+    inside = np.zeros(len(o), bool)
+    for (ax, ay), (bx, by) in zip(fx.PENTAGON, fx.PENTAGON[1:], strict=False):
+        ax, ay, bx, by = cx + ax * size, cy + ay * size, cx + bx * size, cy + by * size
+        inside ^= ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
+    got = catalog.QUERIES["tile_interior_pg"](spark, big).collect()
+    assert inside.sum() > 1 and sum(r.n for r in got if r.topo == "w") <= inside.sum() <= sum(r.n for r in got)
+
+
 def test_every_query_is_listed_once():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 80
 
