@@ -457,7 +457,7 @@ query("tile_heat_range_pt", heat_sql("point", CUT))(_heat_query("point", CUT))
 query("tile_heat_ln", heat_sql("line").replace("sum(m) AS m FROM ci", "round(sum(m), 6) AS m FROM ci"))(lambda spark, sf_dir: raster.heat(cells.line_cells(layer(spark, sf_dir, "line"), Z + 8, []).withColumn("m", F.round("m", 6)), HEAT, "line", Z, X, Y))
 query("heat_max", f"WITH {cells_sql('point', 10)} SELECT CAST(max(m) AS BIGINT) AS top FROM (SELECT sum(m) AS m FROM ci GROUP BY col, row)")(lambda spark, sf_dir: raster.largest(cells.point_cells(fx.points(spark, sf_dir), 10, []), Z, (0, 3, 0, 3)))
 query("heat_max_range", f"WITH {cells_sql('point', 10)} SELECT CAST(max(m) AS BIGINT) AS top FROM (SELECT sum(m) AS m FROM ci WHERE {geo.boxes_overlap(geo.cell_box('col', 'row', 10), CUT)} GROUP BY col, row)")(lambda spark, sf_dir: raster.largest(cells.point_cells(fx.points(spark, sf_dir), 10, []), Z, (0, 3, 0, 3), CUT))
-query("gradient_lut", " UNION ALL ".join(f"SELECT '{g}' AS name, {k} AS v, {r} AS r, {gg} AS g, {b} AS b" for g in (*st.GRADIENTS, "grey") for k, (r, gg, b) in enumerate(st.gradient(g)) if k % 51 == 0))(lambda spark, sf_dir: spark.createDataFrame([(g, k, *c) for g in (*st.GRADIENTS, "grey") for k, c in enumerate(st.gradient(g)) if k % 51 == 0], "name string, v int, r int, g int, b int"))
+query("gradient_lut", " UNION ALL ".join(f"SELECT '{g}' AS name, {k} AS v, {r} AS r, {gg} AS g, {b} AS b" for g in (*st.GRADIENTS, "grey") for k, (r, gg, b) in enumerate(st.gradient(g)) if k % 51 == 0))(lambda spark, sf_dir: spark.createDataFrame([(g, k, *c) for g in (*st.GRADIENTS, "grey") for k, c in enumerate(st.gradient(g))], "name string, v int, r int, g int, b int"))
 
 VZ, VX, VY = 6, 21, 20
 _vt = geo.tile_box(VZ, VX, VY)

@@ -48,6 +48,13 @@ def test_interior_tile_sees_every_ring(spark):
     assert inside.sum() > 1 and sum(r.n for r in got if r.topo == "w") <= inside.sum() <= sum(r.n for r in got)
 
 
+def test_gradients_are_whole(spark):
+    got = {(r.name, r.v): (r.r, r.g, r.b) for r in catalog.QUERIES["gradient_lut"](spark, SF).collect()}
+    assert got == {(g, k): tuple(c) for g in (*st.GRADIENTS, "grey") for k, c in enumerate(st.gradient(g))} and len(got) == 256 * (len(st.GRADIENTS) + 1)
+    c = duckdb.sql(catalog.SQL["gradient_lut"]).fetchall()
+    assert c and all(got[n, v] == (r, g, b) for n, v, r, g, b in c)
+
+
 def test_every_query_is_listed_once():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 80
 
