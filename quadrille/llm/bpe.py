@@ -30,7 +30,7 @@ MEMO_CHARS = 48
 #: The usual pattern of byte-level vocabularies (a fixed value): only here texts are cut at spaces first.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-inner_space = re.compile(r"\s \s").search
+inner_space = re.compile(r"\s \s|\s \Z").search
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -168,7 +168,7 @@ class BytePairCodec:
 
         A pre-token holds a space only at its head or inside a run of white
         space, so every space may start a part, unless it stands between two
-        white-space characters; such rare texts stay whole.
+        white-space characters or, after one, at the end; such rare texts stay whole.
         """
         if not self.spaced or " " not in text or inner_space(text):
             return [text]

@@ -1,5 +1,6 @@
 """The operators against brute force, and their defined results in odd cases."""
 
+import base64
 import collections
 import hashlib
 
@@ -43,6 +44,17 @@ def test_bpe_equals_tiktoken(spark, docs):
     assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_with_a_token_that_ends_in_a_space(spark, tmp_path):
+    ranks = {bytes([i]): i for i in range(256)} | {b"\n ": 256, b"  ": 257}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\n ", "a  ", "  ", "\n ", "a ", "a\n b", "a b\n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.token_ids for r in bpe.encode_column(df, str(path), P.PATTERN).collect()}
+    assert [got[i] for i in range(len(texts))] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_line_dedup(spark, docs):
     block = "first line of it\nsecond line here\nthird line too\nfourth and so on\nfifth line\nsixth one\nseventh line\neighth"
     all_ = docs.union(odd(spark, block, "intro words\n" + block, block + "\ntail"))
