@@ -141,6 +141,20 @@ def _signed(docs: DataFrame, key: str, text: str, n: int, percent: int, counts)
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"_key {kind}, node long, size int, sigs array<long>")
 
 
+def _noded(texts: DataFrame, n: int) -> DataFrame:
+    """(node, _text) of the texts with words."""
+
+    def run(batches):
+        memo = _Words()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sets = [shingle_set(t, n, memo) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), batch.column(0)], names=["node", "_text"])
+
+    return texts.mapInArrow(run, "node long, _text string").where("node is not null")
+
+
 def _sets(texts: DataFrame, n: int) -> DataFrame:
     """(node, s): the sets as sorted arrays, from (node, _text); texts of other nodes (a key on several texts) are passed over."""
 
@@ -211,7 +225,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     base = counted.where("part is null").select("_key", "n_shingles", "node")
     heads = base.where("node is not null").groupBy("node").agg(F.min("_key").alias("_key"))
     # signatures of one row for each node, dealt by signature; the first pivot of a block is the node with the fewest hashes before its own
-    rows = _signed(docs, key, text, n, percent, counts).join(heads.select("_key", "node"), ["_key", "node"], "left_semi").dropDuplicates(["_key", "node"]).select("node", "size", F.posexplode("sigs").alias("pos", "sig"))
+    rows = _signed(docs, key, text, n, percent, counts).join(heads.select(F.col("_key").alias("_k"), F.col("node").alias("_n")), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("node") == F.col("_n")), "left_semi").dropDuplicates(["_key", "node"]).select("node", "size", F.posexplode("sigs").alias("pos", "sig"))
     from pyspark.sql import Window
 
     by_sig = Window.partitionBy("sig")
@@ -220,6 +234,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     block = scratch.keep(block.select("*", F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
     chosen = heads.join(block.select("node"), "node", "left_semi")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").withColumn("_m", F.md5("_text")).dropDuplicates(["_key", "node", "_m"]).select("node", "_text")
+    # without a key, rows are found by their set
+    lone = _noded(docs.where(F.col(key).isNull()).select(F.col(text).alias("_text")), n).join(chosen.where("_key is null").select("node"), "node", "left_semi")
+    texts = texts.union(lone.withColumn("_m", F.md5("_text")).dropDuplicates(["node", "_m"]).select("node", "_text"))
     sets = scratch.keep(_sets(texts, n))
 
     linked = (100 * F.col("i") >= percent * F.col("u"))

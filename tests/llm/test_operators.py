@@ -142,6 +142,13 @@ def test_ngram_groups_equal_brute_force(spark, docs, n, percent):
     assert got == sorted((r.doc_id, len(sets[r.doc_id]), find(r.doc_id)) for r in rows.collect())
 
 
+def test_ngram_links_through_rows_without_a_key(spark):
+    span = lambda a: " ".join(f"w{i}" for i in range(a, a + 60))
+    rows = [(1, span(0)), (None, span(3)), (2, span(6)), (None, "quite another text without a key"), (None, span(500)), (None, span(501))]
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 0), (0, 1), (1, 1), (2, 1)]
+
+
 def test_ngram_groups_without_rows(spark, docs):
     assert ngram_join.near_groups(docs.limit(0)).count() == 0
     assert sorted(r.n_shingles for r in ngram_join.near_groups(odd(spark), n=4, percent=85).collect()) == [0, 0, 0, 1, 1]
