@@ -29,11 +29,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word 5-gram Jaccard >= 0.8 the one with the smallest doc_id stays.
 
-    Rows that repeat a doc_id become one row; rows without a doc_id are in no group and stay.
+    Rows that repeat a doc_id and its text become one row; those with another text are
+    decided on their own, in the order of a hash of the text. Rows without a doc_id
+    stay.
     """
-    groups = ngram_join.near_groups(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    # one number for each doc_id and text: doc_id * 2^62, and 62 bits of the text's hash
+    row = F.expr(f"CAST(CAST(doc_id AS DECIMAL(19, 0)) * CAST({1 << 62} AS DECIMAL(19, 0)) + (xxhash64(text) & {(1 << 62) - 1}) AS DECIMAL(38, 0))")
+    rows = docs.withColumn("_row", row)
+    groups = ngram_join.near_groups(rows.select("_row", "text"), key="_row", n=5, percent=80)
+    gone = groups.where(F.col("component_id") < F.col("_row")).select("_row").distinct()
+    known = rows.where("_row is not null").join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(docs.columns)
     return known.union(docs.where("doc_id is null"))
 
 

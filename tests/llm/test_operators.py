@@ -338,3 +338,12 @@ def test_ngram_stage_keeps_rows_without_a_doc_id(spark):
     rows = [(None, "one two three", None, None, 0), (None, "four five six", None, None, 0), (1, "a b c d e f", None, None, 0), (2, "a b c d e f", None, None, 0)]
     kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, TEXT), SF)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "four five six"), (0, "one two three"), (1, "a b c d e f")]
+
+
+def test_ngram_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    same, big = "a b c d e f", 1 << 62
+    rows = [(1, same, None, None, 0), (2, same, None, None, 0), (2, "g h i j k l", None, None, 0), (2, "m n o p q r", None, None, 0), (2, "m n o p q r", None, None, 0), (-big, "s t u v w x", None, None, 0), (big, "s t u v w x", None, None, 0), (3, None, None, None, 0)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, TEXT), SF)
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(-big, "s t u v w x"), (1, same), (2, "g h i j k l"), (2, "m n o p q r"), (3, "")]
