@@ -9,7 +9,8 @@ dead ends are marked, so each position is settled once.  (The trie is asked only
 at starts the walk visits; scanning every piece for all entries took twice as long.)
 
 Defined results: a null or empty text has no tokens; lone carriage returns, NULs
-and any other character are ordinary bytes; duplicate rows yield duplicate rows.
+and any other character are ordinary bytes; duplicate rows yield duplicate rows; a
+column that has the name of the added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ class BytePairCodec:
         self.compatible.clear()  # judged while the merge table was incomplete
         #: Entries that merges can make; the others stand only for a whole pre-token.
         self.live = {t: i for t, i in self.ids.items() if len(t) == 1 or self.halves[i] != (i, i)}
+        self.longest = max(map(len, self.ids), default=0)
         self.tails: dict[str, tuple[int, ...]] = {}
         self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.spaced = pattern == SPACED_PATTERN
@@ -144,7 +146,7 @@ class BytePairCodec:
         while pos < n:
             size = bound[pos]
             if size < 0:
-                size = reach(piece[pos:] if pos else piece)
+                size = reach(piece[pos : pos + self.longest])  # no more than an entry can hold, so each start costs the same
             while size:
                 end = pos + size
                 size -= 1
@@ -216,35 +218,34 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     """docs with one more column: the token ids (array<int>) of the whole text; null and empty give []."""
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    name = text
-    kept = docs.columns
-    schema = StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))])
+    kept = [c for c in docs.columns if c != into]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField(into, ArrayType(IntegerType()))])
 
     def run(batches):
         c = codec(path, pattern)
         for whole in batches:
             for batch in _slices(whole):
-                ids = [c.encode(t) if t else [] for t in batch.column(name).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*kept, into])
+                ids = [c.encode(t) if t else [] for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("_read"), *kept).mapInArrow(run, schema)
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """docs with one more column: the bytes (binary) that the ids stand for; null ids give empty bytes."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    kept = docs.columns
-    schema = StructType([*docs.schema.fields, StructField(into, BinaryType())])
+    kept = [c for c in docs.columns if c != into]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField(into, BinaryType())])
 
     def run(batches):
         c = codec(path, pattern)
         for whole in batches:
             for batch in _slices(whole):
-                back = [c.decode(x or ()) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*kept, into])
+                back = [c.decode(x or ()) for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(back, pa.binary())], names=[*kept, into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col(ids).alias("_read"), *kept).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

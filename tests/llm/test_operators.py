@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -55,6 +56,30 @@ def test_bpe_with_a_token_that_ends_in_a_space(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_takes_linear_time(spark):
+    c = bpe.codec(PATH, P.PATTERN)
+
+    def took(n):
+        text = "ab" * (n // 2)
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            c.walk(text)
+            best.append(time.process_time() - start)
+        return min(best)
+
+    took(10_000)
+    assert took(400_000) < 16 * took(50_000)
+
+
+def test_bpe_replaces_a_column_of_the_same_name(spark):
+    df = spark.createDataFrame([("a b", 7)], "text string, token_ids int")
+    coded = bpe.encode_column(df, PATH, P.PATTERN)
+    assert coded.columns == ["text", "token_ids"]
+    back = bpe.decode_column(bpe.encode_column(df, PATH, P.PATTERN, into="text"), PATH, P.PATTERN, ids="text", into="text")
+    assert back.columns == ["token_ids", "text"] and bytes(back.first().text) == b"a b"
+
+
 def test_line_dedup(spark, docs):
     block = "first line of it\nsecond line here\nthird line too\nfourth and so on\nfifth line\nsixth one\nseventh line\neighth"
     all_ = docs.union(odd(spark, block, "intro words\n" + block, block + "\ntail"))
