@@ -6,7 +6,7 @@ numbers, with partial aggregation at each step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo
@@ -18,15 +18,19 @@ def point_cells(points: DataFrame, level: int, items: list[str]) -> DataFrame:
     return inside.groupBy(F.expr(geo.col("x", level)).alias("col"), F.expr(geo.row("y", level)).alias("row"), *items).agg(F.count("*").alias("m"))
 
 
-def segment_cells(segments: DataFrame, level: int) -> DataFrame:
-    """segments with (col, row) of every cell they meet: by column strip, then the rows inside the strip."""
+def _strips(segments: DataFrame, level: int) -> DataFrame:
+    """segments cut into column strips: col, the ends _a and _b of the part in the strip, and the heights _p and _q there."""
     w, half = geo.num(geo.width(level)), geo.num(geo.L)
     s = segments.withColumn("col", F.explode(F.expr(f"sequence({geo.col('least(x0, x1)', level)}, {geo.col('greatest(x0, x1)', level)})")))
     s = s.withColumn("_a", F.expr(f"greatest(least(x0, x1), col * {w} - {half})")).withColumn("_b", F.expr(f"least(greatest(x0, x1), (col + 1) * {w} - {half})"))
     at = lambda x: f"CASE WHEN x0 = x1 THEN {{}} ELSE y0 + ({x} - x0) * ((y1 - y0) / (x1 - x0)) END"
-    s = s.withColumn("_p", F.expr(at("_a").format("y0"))).withColumn("_q", F.expr(at("_b").format("y1")))
+    return s.withColumn("_p", F.expr(at("_a").format("y0"))).withColumn("_q", F.expr(at("_b").format("y1")))
+
+
+def segment_cells(segments: DataFrame, level: int) -> DataFrame:
+    """segments with (col, row) of every cell they meet: by column strip, then the rows inside the strip."""
     rows = f"sequence({geo.row('greatest(_p, _q)', level)}, {geo.row('least(_p, _q)', level)})"
-    return s.withColumn("row", F.explode(F.expr(rows))).drop("_a", "_b", "_p", "_q")
+    return _strips(segments, level).withColumn("row", F.explode(F.expr(rows))).drop("_a", "_b", "_p", "_q")
 
 
 def line_cells(segments: DataFrame, level: int, items: list[str]) -> DataFrame:
@@ -41,28 +45,28 @@ def boundary_cells(edges: DataFrame, level: int) -> DataFrame:
     return segment_cells(edges, level).select("id", "col", "row").distinct()
 
 
-def interior_cells(edges: DataFrame, level: int) -> DataFrame:
-    """(ring id, col, row): cells inside a ring that no edge meets, by scan lines through cell centres."""
-    w, half = geo.num(geo.width(level)), geo.num(geo.L)
-    centre = f"({half} - (row + 0.5e0) * {w})"
-    cut = edges.withColumn("row", F.explode(F.expr(f"sequence({geo.row('greatest(y0, y1)', level)}, {geo.row('least(y0, y1)', level)})")))
-    cut = cut.where(f"(y0 <= {centre} AND y1 > {centre}) OR (y0 > {centre} AND y1 <= {centre})")
-    cut = cut.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.expr(f"x0 + ({centre} - y0) * ((x1 - x0) / (y1 - y0))"))).alias("_xs"))
-    runs = cut.select("id", "row", F.col("_xs"), F.explode(F.expr("sequence(0, size(_xs) div 2 - 1)")).alias("_k"))
-    first, last = f"CAST(ceil((_xs[2 * _k] + {half}) / {w} - 0.5e0) AS BIGINT)", f"CAST(floor((_xs[2 * _k + 1] + {half}) / {w} - 0.5e0) AS BIGINT)"
-    cells = runs.where(f"{first} <= {last}").select("id", F.explode(F.expr(f"sequence({first}, {last})")).alias("col"), "row")
-    return cells.join(boundary_cells(edges, level), ["id", "col", "row"], "left_anti")
-
-
 def ring_cells(edges: DataFrame, level: int, attrs: list[str]) -> DataFrame:
-    """(id, col, row, topo, m, *attrs): clipped area in km2; topo i on the boundary, w within."""
+    """(id, col, row, topo, m, *attrs): clipped area in km2; topo i on the boundary, w within.
+
+    One pass, linear in the cells: an edge adds its share of area to the cells that it
+    meets and carries its width to all cells south of them in the column.  Running sums
+    down each column of a ring turn carries into areas; where the sum is a whole cell's
+    width, the cells up to the next boundary cell lie within.
+    """
+    width = geo.num(geo.width(level))
     box = geo.cell_box("col", "row", level)
-    met = boundary_cells(edges, level).join(edges, "id")
-    border = met.groupBy("id", "col", "row").agg(F.expr(f"abs(sum({geo.edge_area(*box)})) / 1e6").alias("m"), *(F.first(a).alias(a) for a in attrs))
-    names = edges.select("id", *attrs).distinct()
-    within = interior_cells(edges, level).join(names, "id")
-    area = geo.num(geo.width(level) * geo.width(level) / 1e6)
-    return border.select("id", "col", "row", F.lit("i").alias("topo"), "m", *attrs).unionByName(within.select("id", "col", "row", F.lit("w").alias("topo"), F.expr(area).alias("m"), *attrs))
+    north, south = geo.row("greatest(_p, _q)", level), geo.row("least(_p, _q)", level)
+    met = _strips(edges, level).withColumn("_south", F.expr(south)).withColumn("row", F.explode(F.expr(f"sequence({north}, _south)")))
+    carry = "CASE WHEN row < _south THEN 0e0 WHEN x1 >= x0 THEN _b - _a ELSE _a - _b END"
+    parts = met.select("id", "col", "row", *attrs, F.expr(geo.edge_area(*box)).alias("_part"), F.expr(carry).alias("_carry"))
+    # dealt by column of a ring once, for the sums and the windows
+    border = parts.repartition("id", "col").groupBy("id", "col", "row", *attrs).agg(F.sum("_part").alias("_part"), F.sum("_carry").alias("_carry"))
+    down = Window.partitionBy("id", "col").orderBy("row")
+    border = border.withColumn("_above", F.coalesce(F.sum("_carry").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_next", F.lead("row").over(down))
+    inside = f"abs(_above + _carry) > {width} / 2e0 AND _next > row + 1"
+    cells = F.expr(f"""concat(array(named_struct('row', row, 'topo', 'i', 'm', abs(_part + _above * {width}) / 1e6)),
+      CASE WHEN {inside} THEN transform(sequence(row + 1, _next - 1), r -> named_struct('row', r, 'topo', 'w', 'm', {geo.num(geo.width(level) * geo.width(level) / 1e6)})) ELSE array() END)""")
+    return border.select("id", "col", F.explode(cells).alias("_c"), *attrs).select("id", "col", "_c.row", "_c.topo", "_c.m", *attrs)
 
 
 def roll_up(cells: DataFrame, steps: int, items: list[str]) -> DataFrame:
@@ -81,9 +85,14 @@ def pyramid(finest: DataFrame, level: int, coarsest: int, items: list[str]) -> D
     return out
 
 
-def persist(cells: DataFrame, path: str) -> None:
-    """A pyramid as Parquet, a folder for each level, cells in order: level and cell filters prune files and row groups."""
-    cells.repartition("level").sortWithinPartitions("level", "row", "col").write.partitionBy("level").mode("overwrite").parquet(path)
+def persist(cells: DataFrame, path: str, *keys: str) -> None:
+    """A pyramid as Parquet, a folder for each level, cells in order of blocks of 256 x 256 (ty, tx): level and block filters prune files and row groups.
+
+    Cells are dealt by range, so a level with nearly all cells is written by many tasks.
+    """
+    order = ["level", *keys, "ty", "tx", "row", "col"]
+    blocks = cells.withColumn("ty", F.expr("shiftright(row, 8)")).withColumn("tx", F.expr("shiftright(col, 8)"))
+    blocks.repartitionByRange(*order[:-2]).sortWithinPartitions(*order).write.partitionBy("level").mode("overwrite").parquet(path)
 
 
 def children_mask(cells: DataFrame) -> DataFrame:
