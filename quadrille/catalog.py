@@ -457,7 +457,22 @@ query("tile_heat_range_pt", heat_sql("point", CUT))(_heat_query("point", CUT))
 query("tile_heat_ln", heat_sql("line").replace("sum(m) AS m FROM ci", "round(sum(m), 6) AS m FROM ci"))(lambda spark, sf_dir: raster.heat(cells.line_cells(layer(spark, sf_dir, "line"), Z + 8, []).withColumn("m", F.round("m", 6)), HEAT, "line", Z, X, Y))
 query("heat_max", f"WITH {cells_sql('point', 10)} SELECT CAST(max(m) AS BIGINT) AS top FROM (SELECT sum(m) AS m FROM ci GROUP BY col, row)")(lambda spark, sf_dir: raster.largest(cells.point_cells(fx.points(spark, sf_dir), 10, []), Z, (0, 3, 0, 3)))
 query("heat_max_range", f"WITH {cells_sql('point', 10)} SELECT CAST(max(m) AS BIGINT) AS top FROM (SELECT sum(m) AS m FROM ci WHERE {geo.boxes_overlap(geo.cell_box('col', 'row', 10), CUT)} GROUP BY col, row)")(lambda spark, sf_dir: raster.largest(cells.point_cells(fx.points(spark, sf_dir), 10, []), Z, (0, 3, 0, 3), CUT))
-query("gradient_lut", " UNION ALL ".join(f"SELECT '{g}' AS name, {k} AS v, {r} AS r, {gg} AS g, {b} AS b" for g in (*st.GRADIENTS, "grey") for k, (r, gg, b) in enumerate(st.gradient(g)) if k % 51 == 0))(lambda spark, sf_dir: spark.createDataFrame([(g, k, *c) for g in (*st.GRADIENTS, "grey") for k, c in enumerate(st.gradient(g))], "name string, v int, r int, g int, b int"))
+
+
+def gradient_sql() -> str:
+    """All 256 entries by linear interpolation in SQL: a segment between two stops has its share of the entries, the last one the rest."""
+    tables = {**st.GRADIENTS, "grey": st.GREY}
+    stops = ", ".join(f"('{n}', {k}, {r}, {g}, {b})" for n, (colours, _) in tables.items() for k, (r, g, b) in enumerate(colours))
+    shares = ", ".join(f"('{n}', {k}, {v!r}::DOUBLE)" for n, (_, parts) in tables.items() for k, v in enumerate(parts))
+    shade = lambda c: f"CAST(trunc(a.{c} + (b.{c} - a.{c})::DOUBLE / (l.n - 1) * i) AS INT) & 255 AS {c}"
+    return f"""WITH stop(name, k, r, g, b) AS (VALUES {stops}), share(name, k, v) AS (VALUES {shares}),
+sized AS (SELECT name, k, CAST(floor(v * 256) AS INT) AS n, k = max(k) OVER (PARTITION BY name) AS ends FROM share),
+l AS (SELECT name, k, CASE WHEN ends THEN 256 - (sum(n) OVER w - n) ELSE n END AS n, sum(n) OVER w - n AS start FROM sized WINDOW w AS (PARTITION BY name ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT name, CAST(l.start + i AS INT) AS v, {shade('r')}, {shade('g')}, {shade('b')}
+FROM (SELECT *, unnest(generate_series(0, CAST(n AS INT) - 1)) AS i FROM l) l JOIN stop a USING (name, k) JOIN stop b ON b.name = l.name AND b.k = l.k + 1"""
+
+
+query("gradient_lut", gradient_sql())(lambda spark, sf_dir: spark.createDataFrame([(g, k, *c) for g in (*st.GRADIENTS, "grey") for k, c in enumerate(st.gradient(g))], "name string, v int, r int, g int, b int"))
 
 VZ, VX, VY = 6, 21, 20
 _vt = geo.tile_box(VZ, VX, VY)
@@ -479,14 +494,13 @@ for _suffix, _box in (("", None), ("_range", VCUT)):
 # a tile deep inside the pentagon of order 1: z so fine that the tile is one colour
 _ip = geo.width(17)
 IX, IY = int((7919000 - 18000000 + geo.L) // geo.width(14)), int((geo.L - (6151000 - 18000000)) // geo.width(14))
+_near = tuple(v + d * geo.width(14) for v, d in zip(geo.tile_box(14, IX, IY), (-1, -1, 1, 1), strict=True))
 
 
-@query("tile_interior_pg", f"""WITH {EDGES}, {rings_sql(14, 'id <= 3')} SELECT topo, status, CAST(count(*) AS BIGINT) AS n FROM pc WHERE col = {IX} AND row = {IY} GROUP BY ALL""")
+@query("tile_interior_pg", f"""WITH {EDGES}, {rings_sql(14, f"id IN (SELECT id FROM edges GROUP BY id HAVING max(x0) >= {_near[0]!r}::DOUBLE AND min(x0) <= {_near[2]!r}::DOUBLE AND max(y0) >= {_near[1]!r}::DOUBLE AND min(y0) <= {_near[3]!r}::DOUBLE)")} SELECT topo, status, CAST(count(*) AS BIGINT) AS n FROM pc WHERE col = {IX} AND row = {IY} GROUP BY ALL""")
 def tile_interior_pg(spark, sf_dir):
     """Rings whose interior or boundary holds the cell of a tile: interior ones fill it with one colour."""
-    w, box = geo.width(14), geo.tile_box(14, IX, IY)
-    near = geo.mbb_touches((box[0] - w, box[1] - w, box[2] + w, box[3] + w))
-    rings = ft.with_mbb(fx.rings(spark, sf_dir).select("id", "coords", "status")).where(near).select("id", "coords", "status")
+    rings = ft.with_mbb(fx.rings(spark, sf_dir).select("id", "coords", "status")).where(geo.mbb_touches(_near)).select("id", "coords", "status")
     got = cells.ring_cells(ft.explode_segments(rings), 14, ["status"]).where((F.col("col") == IX) & (F.col("row") == IY))
     return got.groupBy("topo", "status").agg(F.count("*").alias("n"))
 
@@ -537,13 +551,13 @@ def pyramid_persist(spark, sf_dir):
     return spark.read.parquet(path).select("level", "col", "row", "item", "m")
 
 
-@query("scan_csv", f"WITH {POINTS} SELECT id, flag FROM points")
+@query("scan_csv", f"WITH {POINTS} SELECT id, x, y, flag FROM points")
 def scan_csv(spark, sf_dir):
     from quadrille.sources import shapefile
 
     path = _folder(spark)
     fx.points(spark, sf_dir).select("id", "x", "y", "flag").write.csv(path, header=True)
-    return shapefile.read_csv(spark, path, "x", "y", "3857", "id long, x double, y double, flag string").select("id", "flag")
+    return shapefile.read_csv(spark, path, "x", "y", "3857", "id long, x double, y double, flag string").select("id", "x", "y", "flag")
 
 
 @query("scan_shapefile")
