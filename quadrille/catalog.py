@@ -505,7 +505,51 @@ def tile_interior_pg(spark, sf_dir):
     return got.groupBy("topo", "status").agg(F.count("*").alias("n"))
 
 
-# --- drawn tiles, files (no SQL) ---------------------------------------------------------------
+# --- drawn tiles, files ------------------------------------------------------------------------
+
+
+def vtile_sql(geometry: str, style: st.Style, z: int, x: int, y: int, box=None) -> str:
+    """Drawn tiles by sets of samples: every sample within the radius of a mark or segment, or between two crossings of a ring."""
+    x0, y0, x1, y1 = geo.tile_box(z, x, y)
+    px, py = (lambda c: f"(({c} - {geo.num(x0)}) * {geo.num(256 / (x1 - x0))})"), (lambda c: f"(({geo.num(y1)} - {c}) * {geo.num(256 / (x1 - x0))})")
+    item = FIELD[geometry]
+    if style.kind == "single":
+        k = "0"
+    elif style.kind == "classified":
+        k = "CASE " + " ".join(f"WHEN {item} = '{i}' THEN {n}" for n, i in enumerate(style.items)) + " END"
+    else:
+        k = "CASE " + " ".join(f"WHEN {item} {'<>' if r.op == '!=' else '='} '{r.value}' THEN {n}" for n, r in reversed(list(enumerate(style.rules)))) + " END"
+    radius = "CASE k " + " ".join(f"WHEN {n} THEN {geo.num(p.width + 1 if geometry == 'point' else (p.width + 1) / 2)}" for n, p in enumerate(style.paints)) + " END"
+    touch = f"max(greatest(x0, x1)) >= {geo.num(x0)} AND min(least(x0, x1)) <= {geo.num(x1)} AND max(greatest(y0, y1)) >= {geo.num(y0)} AND min(least(y0, y1)) <= {geo.num(y1)}"
+    if geometry == "point":
+        source = f"{POINTS}, f AS (SELECT id, {k} AS k, x AS x0, y AS y0, x AS x1, y AS y1 FROM points WHERE {geo.point_in_box('x', 'y', (x0, y0, x1, y1))})"
+    else:
+        table, ctes = ("segs", SEGMENTS) if geometry == "line" else ("edges", EDGES)
+        source = f"{ctes}, f AS (SELECT id, {k} AS k, x0, y0, x1, y1 FROM {table} WHERE id IN (SELECT id FROM {table} GROUP BY id HAVING {touch}))"
+    first, stop = (lambda v: f"CAST(trunc(least(greatest(({v}) * 4, 0e0), 1024e0)) AS INT)"), (lambda v: f"CAST(trunc(least(greatest(({v}) * 4, 0e0), 1024e0)) AS INT) - 1")
+    t = "CASE WHEN dx * dx + dy * dy = 0 THEN 0e0 ELSE least(greatest((((j + 0.5e0) / 4 - ax) * dx + ((i + 0.5e0) / 4 - ay) * dy) / (dx * dx + dy * dy), 0e0), 1e0) END"
+    marks = f"""SELECT DISTINCT 2 * k + 1 AS layer, i, j FROM (SELECT *, (j + 0.5e0) / 4 - ax - {t} * dx AS u, (i + 0.5e0) / 4 - ay - {t} * dy AS v FROM
+ (SELECT *, unnest(generate_series({first('least(ax, ex) - rd')}, {stop('greatest(ax, ex) + rd + 1')})) AS j FROM
+ (SELECT *, ex - ax AS dx, ey - ay AS dy, unnest(generate_series({first('least(ay, ey) - rd')}, {stop('greatest(ay, ey) + rd + 1')})) AS i FROM s))) WHERE u * u + v * v <= rd * rd"""
+    fill = f"""SELECT DISTINCT 2 * k AS layer, i, j FROM (SELECT k, i, a, b, unnest(generate_series(CAST(floor(least(greatest(a * 4 - 1, 0e0), 1024e0)) AS INT), CAST(least(ceil(least(b * 4 + 1, 1024e0)), 1023e0) AS INT))) AS j FROM
+ (SELECT k, i, c AS a, lead(c) OVER w AS b, row_number() OVER w AS n FROM (SELECT id, k, i, ax + ((i + 0.5e0) / 4 - ay) * (ex - ax) / (ey - ay) AS c FROM
+  (SELECT *, unnest(generate_series({first('least(ay, ey)')}, {stop('greatest(ay, ey) + 1')})) AS i FROM s) WHERE (ay <= (i + 0.5e0) / 4) <> (ey <= (i + 0.5e0) / 4))
+ WINDOW w AS (PARTITION BY id, i ORDER BY c)) WHERE n % 2 = 1) WHERE (j + 0.5e0) / 4 >= a AND (j + 0.5e0) / 4 < b"""
+    drawn = marks if geometry != "polygon" else fill if style.kind != "single" else f"{fill} UNION ALL {marks}"
+    fills = style.fill or style.paints[0]
+    shades = [c for p in style.paints for c in ((fills if style.kind == "single" else p), p)]
+    pick = lambda f: "CASE layer " + " ".join(f"WHEN {n} THEN {f(p)}" for n, p in enumerate(shades)) + " END"
+    rz = geo.num(geo.resolution(z))
+    pixel = f"({geo.num(x0)} + pj * {rz})", f"({geo.num(y1)} - (pi + 1) * {rz})", f"({geo.num(x0)} + (pj + 1) * {rz})", f"({geo.num(y1)} - pi * {rz})"
+    where = "TRUE" if box is None else geo.boxes_overlap(pixel, box)
+    alpha = f"CAST(floor({pick(lambda p: geo.num(p.alpha * 255.0))} * n / 16) AS INT)"
+    return f"""WITH {source},
+s AS (SELECT id, k, {px('x0')} AS ax, {py('y0')} AS ay, {px('x1')} AS ex, {py('y1')} AS ey, {radius} AS rd FROM f WHERE k IS NOT NULL),
+d AS ({drawn}),
+c AS (SELECT layer, i // 4 AS pi, j // 4 AS pj, count(*) AS n FROM d GROUP BY ALL),
+top AS (SELECT pi, pj, arg_max(n, layer) AS n, max(layer) AS layer FROM c GROUP BY ALL)
+SELECT CAST(pi AS INT) AS pi, CAST(pj AS INT) AS pj, {pick(lambda p: p.r)} AS r, {pick(lambda p: p.g)} AS g, {pick(lambda p: p.b)} AS b, {alpha} AS a FROM top WHERE {where} AND {alpha} > 0"""
+
 
 VSTYLE = {g: {"single": s["single"], "class": s["class"], "rule": s["rule"]} for g, s in STYLES.items()}
 
@@ -525,7 +569,8 @@ def _draw_query(geometry: str, style: st.Style, box):
 for _g in ITEMS:
     for _kind, _style in VSTYLE[_g].items():
         for _range, _box in (("", None), ("_range", VCUT)):
-            query(f"vtile_{_kind}{_range}_{SHORT[_g]}")(_draw_query(_g, _style, _box))
+            _at = (VZ, VX, VY) if _g == "point" else (Z, X, Y)
+            query(f"vtile_{_kind}{_range}_{SHORT[_g]}", vtile_sql(_g, _style, *_at, _box if _g == "point" or _box is None else CUT))(_draw_query(_g, _style, _box))
 
 
 @query("tile_png")
