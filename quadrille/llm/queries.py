@@ -107,18 +107,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
-    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
-
-
-OP10_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
-v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system')
-SELECT t.conv_id, t.turn, v.perspective, t.speaker,
-  CASE WHEN t.speaker = 'system' THEN 'system' WHEN t.speaker = v.perspective THEN 'assistant' ELSE 'user' END AS chat_role,
-  CASE WHEN t.speaker = 'system' THEN '<|system|>' WHEN t.speaker = v.perspective THEN '<|assistant|>' ELSE '<|user name=' || t.speaker || '|>' END
-    || chr(10) || t.body || '<|end|>' || chr(10) AS segment,
-  t.speaker = v.perspective AS train
-FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+    out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda x: F.concat(x["first"], F.lit("-"), x["stop"]))
+    return out.select("conv_id", "perspective", "part", "n_turns", "dialogue", F.array_join(spans, ",").alias("mask"))
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS body FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS DISTINCT FROM 'system'),
+h AS (SELECT t.conv_id, t.turn, t.speaker, t.body, v.perspective, CAST(floor(t.turn / 64) AS BIGINT) AS part,
+  CASE WHEN t.speaker = 'system' THEN '<|system|>' WHEN t.speaker IS NOT DISTINCT FROM v.perspective THEN '<|assistant|>' WHEN t.speaker IS NULL THEN '<|user|>'
+    ELSE '<|user name=' || regexp_replace(t.speaker, '[|<>\r\n]', '_', 'g') || '|>' END || chr(10) AS head,
+  t.speaker IS NOT DISTINCT FROM v.perspective AS train
+  FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+s AS (SELECT *, head || regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g') || '<|end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker NULLS FIRST, body ROWS UNBOUNDED PRECEDING) AS stop FROM s)
+SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns, string_agg(segment, '' ORDER BY stop) AS dialogue,
+  coalesce(string_agg(CAST(stop - length(segment) + length(head) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY stop) FILTER (WHERE train), '') AS mask
+FROM o GROUP BY conv_id, perspective, part
 """
 
 
