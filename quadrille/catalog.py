@@ -505,6 +505,69 @@ def tile_interior_pg(spark, sf_dir):
     return got.groupBy("topo", "status").agg(F.count("*").alias("n"))
 
 
+# --- the engine and its stored pyramids ---------------------------------------------------------
+
+FIELDS = {"point": ("flag",), "line": ("etype",), "polygon": ("status",)}
+FINEST = {"point": 10, "line": 11, "polygon": 11}
+_engines: dict[tuple, object] = {}
+
+
+def features_of(spark, sf_dir, geometry: str) -> DataFrame:
+    if geometry == "polygon":
+        return fx.rings(spark, sf_dir).select("id", "coords", "status")
+    return fx.points(spark, sf_dir) if geometry == "point" else fx.lines(spark, sf_dir)
+
+
+def engine(spark, sf_dir, geometry: str):
+    """An engine with a stored pyramid of one layer, built once for a session and folder."""
+    from quadrille.engine import Engine, Layer
+
+    key = spark.sparkContext.applicationId, sf_dir, geometry
+    if key not in _engines:
+        e = Engine({geometry: Layer(features_of(spark, sf_dir, geometry), geometry)})
+        e.build(geometry, _folder(spark), FINEST[geometry], 8, FIELDS[geometry])
+        _engines[key] = e
+    return _engines[key]
+
+
+def _style_text(style: st.Style) -> str:
+    paint = lambda p: f"{p.r},{p.g},{p.b},{p.alpha},{p.width}"
+    if style.kind == "single":
+        return f"single-{paint(style.paints[0])}" + (f",{style.fill.r},{style.fill.g},{style.fill.b},{style.fill.alpha}" if style.fill else "")
+    if style.kind == "heat":
+        return f"heat-{style.gradient}-{style.radius}-{','.join(map(str, style.view))}"
+    rows = style.items if style.kind == "classified" else [r.op + r.value for r in style.rules]
+    return f"{style.kind}-{style.field}-string-" + "-".join(f"{i},{paint(p)}" for i, p in zip(rows, style.paints, strict=True))
+
+
+for _g, _n in NAMES.items():
+    _whole = _g == "point"
+    for _kind in ("single", "classified", "ruled"):
+        if _whole and _kind == "ruled":
+            continue  # its rules are over a field without cells
+        _style = {"single": "single-1,1,1,1,1", "classified": f"classified-{FIELD[_g]}-string-" + "-".join(f"{i},1,1,1,1,1" for i in ITEMS[_g]), "ruled": f"ruled-{FIELD[_g]}-string-" + "-".join(f"{r.op}{r.value},1,1,1,1,1" for r in TEXT_RULES[_g])}[_kind]
+        query(f"engine_{_n}_{_kind}", SQL[f"{_n}_{_kind}"])(lambda spark, sf_dir, g=_g, t=_style, w=_whole: (lambda out: out if w else out.withColumn("m", F.round("m", 3)))(engine(spark, sf_dir, g).range_stats(g, t, fx.B1)))
+    for _kind in ("single", "class", "rule"):
+        for _range, _box in (("", None), ("_range", CUT)):
+            query(f"engine_tile_{_kind}{_range}_{SHORT[_g]}", SQL[f"tile_{_kind}{_range}_{SHORT[_g]}"])(lambda spark, sf_dir, g=_g, t=_style_text(STYLES[_g][_kind]), b=_box: engine(spark, sf_dir, g).tile(g, t, Z, X, Y, b))
+query("engine_heat_pt", SQL["tile_heat_pt"])(lambda spark, sf_dir: engine(spark, sf_dir, "point").tile("point", _style_text(HEAT), Z, X, Y))
+query("engine_text", SQL["stat_string"])(lambda spark, sf_dir: engine(spark, sf_dir, "point").text("point", "classified-flag-string-" + "-".join(f"{i},1,1,1,1,1" for i in ITEMS["point"]), fx.B1))
+
+_AREAS = "SELECT id, any_value(status) AS status, abs(sum((x0 - fx) * (y1 - fy) - (x1 - fx) * (y0 - fy))) / 2e6 AS m FROM edges JOIN (SELECT id, x AS fx, y AS fy FROM pv WHERE vertex = 0) USING (id) GROUP BY id"
+_LENGTHS = f"SELECT id, any_value(etype) AS etype, sum({geo.length_km()}) AS m FROM segs GROUP BY id"
+for _g, _ctes, _sizes in (("line", SEGMENTS, _LENGTHS), ("polygon", EDGES, _AREAS)):
+    query(f"field_items_{SHORT[_g]}", f"WITH {_ctes}, f AS ({_sizes}) SELECT {FIELD[_g]} AS item, round(sum(m), 3) AS m FROM f GROUP BY ALL")(lambda spark, sf_dir, g=_g: _plain_engine(spark, sf_dir, g).field_items(g, FIELD[g]).withColumn("m", F.round("m", 3)))
+    _table, _fields = ("segs", "etype-string") if _g == "line" else ("edges", "status-string")
+    query(f"engine_meta_{SHORT[_g]}", f"WITH {_ctes}, f AS ({_sizes}) SELECT '{_g}' AS kind, '3857' AS srs, (SELECT count(*) FROM f) AS n, min(least(x0, x1)) AS xmin, min(least(y0, y1)) AS ymin, max(greatest(x0, x1)) AS xmax, max(greatest(y0, y1)) AS ymax, (SELECT round(sum(m), 3) FROM f) AS total, '{_fields}' AS fields FROM {_table}")(lambda spark, sf_dir, g=_g: _plain_engine(spark, sf_dir, g).meta(g).withColumn("total", F.round("total", 3)))
+query("engine_meta_pt", f"WITH {POINTS} SELECT 'point' AS kind, '3857' AS srs, count(*) AS n, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, count(*)::DOUBLE AS total, 'flag-string, status-string, qty-int' AS fields FROM points")(lambda spark, sf_dir: _plain_engine(spark, sf_dir, "point").meta("point"))
+
+
+def _plain_engine(spark, sf_dir, geometry: str):
+    from quadrille.engine import Engine, Layer
+
+    return Engine({geometry: Layer(features_of(spark, sf_dir, geometry), geometry)})
+
+
 # --- drawn tiles, files ------------------------------------------------------------------------
 
 

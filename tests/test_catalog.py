@@ -101,6 +101,46 @@ def test_ring_area_over_cells_is_the_whole(spark):
     assert abs(by_cell - ft.ring_area(rings).agg(F.sum("km2")).first()[0]) < 1e-6
 
 
+def test_a_ring_of_very_many_vertices(spark):
+    """100,000 edges: work in proportion to edges and cells, whole area kept."""
+    n, r = 100_000, 3_000_000.0
+    ring = spark.range(1).selectExpr("id", f"transform(sequence(0, {n}), i -> named_struct('x', {r} * cos(2 * pi() * (i % {n}) / {n}) * (1 + 0.1D * sin(40 * pi() * i / {n})) + 5e5D, 'y', {r} * sin(2 * pi() * (i % {n}) / {n}))) AS coords")
+    by_cell = cells.ring_cells(ft.explode_segments(ring), 9, [])
+    got = by_cell.groupBy("topo").agg(F.sum("m").alias("m"), F.count("*").alias("n"), F.count_distinct("col", "row").alias("d")).collect()
+    assert {x.topo for x in got} == {"i", "w"} and all(x.n == x.d for x in got)
+    assert abs(sum(x.m for x in got) - ft.ring_area(ring).first().km2) < 1
+
+
+@pytest.mark.parametrize("geometry", ["point", "line", "polygon"])
+def test_stored_pyramid_answers_as_features_do(spark, tmp_path, geometry):
+    f = catalog.features_of(spark, SF, geometry)
+    field, items = catalog.FIELD[geometry], catalog.ITEMS[geometry]
+    stored, plain = Engine({"a": Layer(f, geometry)}), Engine({"a": Layer(f, geometry)})
+    stored.build("a", str(tmp_path / geometry), 11, 9, (field,))
+    styles = ["single-255,0,0,0.5,2", f"classified-{field}-string-{items[0]},255,0,0,1,2-{items[1]},0,0,255,0.5,1", f"ruled-{field}-string-={items[0]},255,0,0,1,2-!={items[1]},0,0,255,0.5,1"]
+    for style in styles:
+        for box in (None, catalog.CUT):
+            a, b = (e.tile("a", style, 1, 0, 1, box) for e in (stored, plain))
+            assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+        for box in (fx.B1, fx.B2, (-3e7, -3e7, 3e7, 3e7)):
+            a, b = ([tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in e.range_stats("a", style, box).collect()] for e in (stored, plain))
+            assert sorted(a) == sorted(b)
+        assert stored.text("a", style, fx.B1).first() == plain.text("a", style, fx.B1).first()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    scan = stored.layers["a"].store.cells(spark, 10, field, (256, 511), (0, 255))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(level" in scan and "GreaterThanOrEqual(tx,1)" in scan and "EqualTo(field," in scan
+    assert len(os.listdir(tmp_path / geometry / "level=11")) >= 1
+
+
+def test_fine_levels_are_written_by_many_tasks(spark, tmp_path):
+    base = cells.point_cells(fx.points(spark, SF), 10, [])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which makes one task of so few cells
+    cells.persist(cells.pyramid(base, 10, 9, []), str(tmp_path / "p"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(tmp_path / "p" / "level=10") if f.endswith(".parquet")]) > 1
+
+
 def test_heat_equals_brute_force(spark):
     df = spark.createDataFrame([(300, 300, 4), (302, 301, 2)], "col long, row long, m long")
     style = st.Style("heat", gradient="Jet", radius=3, view=(0, 3, 0, 3))
