@@ -259,6 +259,55 @@ def min_cover_cell(spark, sf_dir):
     return spark.createDataFrame([cells.min_cover_cell(fx.B2, 20)], "level int, col long, row long")
 
 
+# --- building, codes, many boxes, binary geometry -----------------------------------------------
+
+_shoelace = "sum((x0 - fx) * (y1 - fy) - (x1 - fx) * (y0 - fy)) / 2e0"
+
+
+@query("build_rings", f"WITH {EDGES} SELECT id, CAST(count(*) + 1 AS INT) AS n, -round(abs({_shoelace}), 1) AS area FROM edges JOIN (SELECT id, x AS fx, y AS fy FROM pv WHERE vertex = 0) USING (id) GROUP BY id")
+def build_rings(spark, sf_dir):
+    """Open vertices to closed clockwise rings, whichever way they came (every second ring is given backwards)."""
+    v = fx.rings(spark, sf_dir).select("id", F.posexplode("coords").alias("k", "p")).where("k < 5")
+    v = v.select("id", F.when(F.col("id") % 2 == 0, -F.col("k")).otherwise(F.col("k")).alias("k"), "p.x", "p.y")
+    return ft.build_rings(v, "k").select("id", F.size("coords").alias("n"), F.round(F.expr(ft.signed_area()), 1).alias("area"))
+
+
+@query("build_lines", f"WITH {VERTICES} SELECT id, etype, CAST(count(*) AS INT) AS n, round(sum(x * vertex), 2) AS x, round(sum(y * vertex), 2) AS y FROM lv WHERE nv > 1 GROUP BY ALL")
+def build_lines(spark, sf_dir):
+    v = fx.lines(spark, sf_dir).select("id", "etype", F.posexplode("coords").alias("k", "p")).select("id", "etype", "k", "p.x", "p.y")
+    built = ft.build_lines(v, "k", ("etype",))
+    moment = lambda c: F.round(F.expr(f"aggregate(sequence(0, size(coords) - 1), 0e0, (acc, i) -> acc + i * coords[i].{c})"), 2).alias(c)
+    return built.select("id", "etype", F.size("coords").alias("n"), moment("x"), moment("y"))
+
+
+@query("quad_code", f"WITH {POINTS}, c AS (SELECT DISTINCT {geo.col('x', 9)} AS col, {geo.row('y', 9)} AS row FROM points) SELECT col, row, " + " || ".join(f"CAST(((col >> {k}) & 1) + 2 * ((row >> {k}) & 1) AS VARCHAR)" for k in range(8, -1, -1)) + " AS code FROM c")
+def quad_code(spark, sf_dir):
+    cells_ = fx.points(spark, sf_dir).selectExpr(f"{geo.col('x', 9)} AS col", f"{geo.row('y', 9)} AS row").distinct()
+    return cells_.selectExpr("col", "row", f"{ft.quad_code(9)} AS code")
+
+
+_BOXES = "SELECT n_nationkey AS box, n_nationkey * 1400000 - 18000000.5e0 AS bx0, n_nationkey * 900000 - 12000000.5e0 AS by0, n_nationkey * 1400000 - 16000000.5e0 AS bx1, n_nationkey * 900000 - 9000000.5e0 AS by1 FROM nation"
+_TOUCH = "x1 >= bx0 AND x0 <= bx1 AND y1 >= by0 AND y0 <= by1"
+
+
+def _boxes(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("_nation")
+    return spark.sql(_BOXES.replace("FROM nation", "FROM _nation"))
+
+
+query("join_boxes_ln", f"WITH {SEGMENTS}, b AS ({_BOXES}), f AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lv WHERE nv > 1 GROUP BY id) SELECT box, id FROM b JOIN f ON {_TOUCH}")(lambda spark, sf_dir: ft.join_boxes(fx.lines(spark, sf_dir), _boxes(spark, sf_dir), 5))
+query("join_boxes_pt", f"WITH {POINTS}, b AS ({_BOXES}) SELECT box, count(*) AS n FROM b JOIN points ON x BETWEEN bx0 AND bx1 AND y BETWEEN by0 AND by1 GROUP BY box")(lambda spark, sf_dir: ft.join_boxes(fx.points(spark, sf_dir), _boxes(spark, sf_dir), 5).groupBy("box").agg(F.count("*").alias("n")))
+
+
+@query("geom_wkb", f"WITH {VERTICES} SELECT id, 'linestring' AS kind, CAST(vertex AS INT) AS vertex, x, y FROM lv WHERE nv > 1")
+def geom_wkb(spark, sf_dir):
+    """Lines to well-known binary and back."""
+    from quadrille.sources import wkb
+
+    made = wkb.with_wkb(fx.lines(spark, sf_dir).select("id", F.array("coords").alias("parts")), "linestring").select("id", "wkb")
+    return wkb.from_wkb(made).select("id", "kind", F.posexplode(F.col("parts")[0]).alias("vertex", "p")).select("id", "kind", "vertex", "p.x", "p.y")
+
+
 # --- pyramids ----------------------------------------------------------------------------------
 
 def strip_sql(source: str, level: int, keep: str) -> str:
@@ -636,18 +685,32 @@ for _g in ITEMS:
             query(f"vtile_{_kind}{_range}_{SHORT[_g]}", vtile_sql(_g, _style, *_at, _box if _g == "point" or _box is None else CUT))(_draw_query(_g, _style, _box))
 
 
-@query("tile_png")
+@query("tile_png", f"""WITH t AS ({SQL['tile_single_pt']}) SELECT sha256(string_agg(CASE WHEN a IS NULL THEN '00000000' ELSE printf('%02x%02x%02x%02x', r, g, b, a) END, '' ORDER BY i, j)) AS pixels_sha256, CAST(count(a) AS BIGINT) AS n
+FROM range(256) x(i), range(256) y(j) LEFT JOIN t ON t.pi = i AND t.pj = j""")
 def tile_png(spark, sf_dir):
+    """The pixels that the PNG of a tile holds once decoded (hexadecimal, row by row), as a digest."""
+    import hashlib
+
     from quadrille.sources import png
 
-    return png.tiles(QUERIES["tile_single_pt"](spark, sf_dir))
+    @F.udf("struct<pixels_sha256:string,n:long>")
+    def read(data):
+        raw = png.decode(bytes(data))
+        return hashlib.sha256(raw.hex().encode()).hexdigest(), sum(a > 0 for a in raw[3::4])
+
+    return png.tiles(QUERIES["tile_single_pt"](spark, sf_dir)).select(read("png").alias("x")).select("x.*")
 
 
 def _folder(spark) -> str:
-    """A new folder where all executors see it."""
+    """A new folder where all executors see it: in spark.checkpoint.dir, in local mode under the warehouse if that is unset."""
+    import re
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
 
 
@@ -663,23 +726,47 @@ def pyramid_persist(spark, sf_dir):
 def scan_csv(spark, sf_dir):
     from quadrille.sources import shapefile
 
-    path = _folder(spark)
+    path = _folder(spark) + ".csv"
     fx.points(spark, sf_dir).select("id", "x", "y", "flag").write.csv(path, header=True)
     return shapefile.read_csv(spark, path, "x", "y", "3857", "id long, x double, y double, flag string").select("id", "x", "y", "flag")
 
 
-@query("scan_shapefile")
+SHAPE_SQL = f"""WITH {VERTICES} SELECT id, 'linestring' AS kind, etype, CAST(vertex AS INT) AS vertex, x, y FROM lv WHERE nv > 1"""
+
+
+def _as_shapes(spark, sf_dir) -> str:
+    """A folder of shapefiles with all lines, one for each task that wrote."""
+    from quadrille.sources import shapefile
+
+    path = _folder(spark)
+    spark.dataSource.register(shapefile.Shapefile)
+    rows = fx.lines(spark, sf_dir).select("id", F.lit("linestring").alias("kind"), F.array("coords").alias("parts"), F.create_map(F.lit("line"), F.col("id").cast("string"), F.lit("etype"), F.col("etype")).alias("attrs"))
+    rows.write.format("quadrille-shp").option("kind", "linestring").option("fields", "line:20,etype:20").mode("append").save(path)
+    return path
+
+
+def _vertices(shapes: DataFrame, line, etype) -> DataFrame:
+    return shapes.select(line.cast("long").alias("id"), "kind", etype.alias("etype"), F.posexplode(F.col("parts")[0]).alias("vertex", "p")).select("id", "kind", "etype", "vertex", "p.x", "p.y")
+
+
+@query("scan_shapefile", SHAPE_SQL)
 def scan_shapefile(spark, sf_dir):
-    """Regions of the star schema as one-ring shapes, written and read again."""
+    """All lines written by the sink and read by the data source."""
+    path = _as_shapes(spark, sf_dir)
+    return _vertices(spark.read.format("quadrille-shp").load(path), F.col("attrs")["line"], F.col("attrs")["etype"])
+
+
+@query("scan_shapefile_bytes", SHAPE_SQL)
+def scan_shapefile_bytes(spark, sf_dir):
+    """The same through Spark's file reader."""
     from quadrille.sources import shapefile
 
-    path = _folder(spark).removeprefix("file:")
-    import os
+    return _vertices(shapefile.read_files(spark, _as_shapes(spark, sf_dir)), F.col("line"), F.col("etype"))
 
-    os.makedirs(path)
-    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()]  # five rows
-    shapes = (([[(k, k), (k + 1.0, k), (k + 1.0, k + 1.0), (k, k)]], {"name": n}) for k, n in rows)
-    shapefile.write(f"{path}/region.shp", "polygon", shapes, [("name", 25)])
-    spark.dataSource.register(shapefile.Shapefile)
-    got = spark.read.format("quadrille-shp").load(f"{path}/region.shp")
-    return got.select("id", "kind", F.size("parts").alias("rings"), F.col("attrs")["name"].alias("name"))
+
+@query("shapefile_extent", f"WITH {VERTICES} SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM lv WHERE nv > 1")
+def shapefile_extent(spark, sf_dir):
+    from quadrille.sources import shapefile
+
+    got = shapefile.extents(spark, _as_shapes(spark, sf_dir))
+    return got.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Operators as they arrive in descriptors, tested in this order.
 OPERATORS = ("!=", "%3E=", "%3C=", ">=", "<=", "=", "%3E", "%3C", ">", "<")
 PLAIN = {"%3E=": ">=", "%3C=": "<=", "%3E": ">", "%3C": "<"}
@@ -33,14 +36,15 @@ class Rule:
     op: str
     value: str
 
-    def sql(self, item: str) -> str:
+    def matches(self, item: Column) -> Column:
         """Equality compares strings; order compares leading numbers, and text without one never matches."""
         if self.op in ("=", "!="):
-            return f"({item} {'<>' if self.op == '!=' else '='} '{self.value}')"
+            return item == F.lit(self.value) if self.op == "=" else item != F.lit(self.value)
         number = re.match(r"\s*[+-]?\d*\.?\d+", self.value)
         if not number:
             raise ValueError(f"rule needs a number: {self.value}")
-        return f"coalesce({leading_number(item)} {self.op} {float(number[0])!r}e0, false)"
+        found, bound = leading_number(item), F.lit(float(number[0]))
+        return F.coalesce({">": found > bound, "<": found < bound, ">=": found >= bound, "<=": found <= bound}[self.op], F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -56,8 +60,8 @@ class Style:
     view: tuple[int, int, int, int] = (0, 0, 0, 0)
 
 
-def leading_number(item: str) -> str:
-    return f"try_cast(regexp_extract({item}, '^ *([+-]?[0-9]*[.]?[0-9]+)', 1) AS DOUBLE)"
+def leading_number(item: Column) -> Column:
+    return F.regexp_extract(item, "^ *([+-]?[0-9]*[.]?[0-9]+)", 1).try_cast("double")
 
 
 def parse_style(text: str) -> Style:

@@ -82,3 +82,48 @@ def in_range(features: DataFrame, box) -> DataFrame:
     if "coords" in features.columns:
         return with_mbb(features).where(geo.mbb_touches(box))
     return features.where(geo.point_in_box("x", "y", box))
+
+
+def closed(coords: str = "coords") -> str:
+    """A ring with its first vertex at its end, too."""
+    return f"CASE WHEN size({coords}) > 0 AND {coords}[0] <> element_at({coords}, -1) THEN concat({coords}, array({coords}[0])) ELSE {coords} END"
+
+
+def build_lines(vertices: DataFrame, order: str, attrs: tuple[str, ...] = ()) -> DataFrame:
+    """(id, coords, attrs) from vertices (id, x, y, order, attrs); attributes are those of the first vertex."""
+    v = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), "x", "y", *attrs)))
+    rows = vertices.groupBy("id").agg(v.alias("_v"))
+    return rows.select("id", F.expr("transform(_v, p -> named_struct('x', p.x, 'y', p.y))").alias("coords"), *(F.col("_v")[0][a].alias(a) for a in attrs))
+
+
+def build_rings(vertices: DataFrame, order: str, ring: str | None = None) -> DataFrame:
+    """(id, ring, coords) from vertices: closed, outer rings (number 0) clockwise and holes counter-clockwise."""
+    number = F.col(ring) if ring else F.lit(0)
+    v = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), "x", "y")))
+    rows = vertices.groupBy("id", number.alias("ring")).agg(v.alias("_v")).withColumn("_c", F.expr("transform(_v, p -> named_struct('x', p.x, 'y', p.y))"))
+    rows = rows.withColumn("_c", F.expr(closed("_c"))).withColumn("_a", F.expr(signed_area("_c")))
+    turned = (F.col("ring") == 0) == (F.col("_a") > 0)
+    return rows.select("id", "ring", F.when(turned & (F.col("_a") != 0), F.reverse("_c")).otherwise(F.col("_c")).alias("coords"))
+
+
+def quad_code(level: int, c: str = "col", r: str = "row") -> str:
+    """The path of a cell from the root as digits 0 left up, 1 right up, 2 left down, 3 right down; the root is empty."""
+    if level == 0:
+        return "''"
+    return f"array_join(transform(sequence({level - 1}, 0, -1), k -> CAST((shiftright({c}, k) & 1) + 2 * (shiftright({r}, k) & 1) AS STRING)), '')"
+
+
+def join_boxes(features: DataFrame, boxes: DataFrame, level: int) -> DataFrame:
+    """(box, id): the features whose bounding box touches each of many boxes (box, bx0, by0, bx1, by1), closed.
+
+    Both are spread over the cells of a level and joined by cell; a pair counts in the
+    first cell (west, then north) that both cover, so it comes once.
+    """
+    spread = lambda x0, x1, y0, y1, i: (F.explode(F.expr(f"sequence({geo.col(x0, level)}, {geo.col(x1, level)})")).alias(f"col{i}"), F.expr(f"sequence({geo.row(y1, level)}, {geo.row(y0, level)})").alias(f"_rows{i}"))
+    f = features if "xmin" in features.columns else with_mbb(features) if "coords" in features.columns else features.selectExpr("*", "x AS xmin", "x AS xmax", "y AS ymin", "y AS ymax")
+    names = ["id", "xmin", "ymin", "xmax", "ymax"]
+    f = f.select(*names, *spread("xmin", "xmax", "ymin", "ymax", 0)).select(*names, F.col("col0").alias("_c"), F.explode("_rows0").alias("_r"))
+    sides = ["box", "bx0", "by0", "bx1", "by1"]
+    b = boxes.select(*sides, *spread("bx0", "bx1", "by0", "by1", 1)).select(*sides, F.col("col1").alias("_c"), F.explode("_rows1").alias("_r"))
+    first_col, first_row = geo.col("greatest(xmin, bx0)", level), geo.row("least(ymax, by1)", level)
+    return f.join(b, ["_c", "_r"]).where("xmin <= bx1 AND xmax >= bx0 AND ymin <= by1 AND ymax >= by0").where(f"_c = {first_col} AND _r = {first_row}").select("box", "id")

@@ -82,7 +82,7 @@ def classed(cells: DataFrame, style: Style) -> DataFrame:
 def last_rule(rules: tuple[Rule, ...]):
     k = F.lit(None).cast("int")
     for n, r in enumerate(rules):
-        k = F.when(F.expr(r.sql("item")), n).otherwise(k)
+        k = F.when(r.matches(F.col("item")), n).otherwise(k)
     return k
 
 

@@ -39,7 +39,7 @@ def by_class(rows: DataFrame, field: str, items: list[str]) -> DataFrame:
 def by_rule(rows: DataFrame, field: str, rules: list[Rule]) -> DataFrame:
     """(rule, m): independent sums; one feature may count in several rules."""
     item = rows.withColumn("_item", F.col(field).cast("string"))
-    sums = item.agg(*(F.coalesce(F.sum(F.when(F.expr(r.sql("_item")), F.col("m"))), F.lit(0)).alias(f"_{k}") for k, r in enumerate(rules)))
+    sums = item.agg(*(F.coalesce(F.sum(F.when(r.matches(F.col("_item")), F.col("m"))), F.lit(0)).alias(f"_{k}") for k, r in enumerate(rules)))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(r.op + r.value).alias("rule"), F.col(f"_{k}").alias("m")) for k, r in enumerate(rules)))).alias("x")).select("x.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,11 @@ def tiles(pixels: DataFrame, *keys: str) -> DataFrame:
     """(keys, png) from (keys, pi, pj, r, g, b, a): at most 65,536 pixels meet for a tile; one blank tile for an empty table without keys."""
 
     def draw(f: pd.DataFrame) -> pd.DataFrame:
-        image = bytearray(4 * SIZE * SIZE)
-        for i, j, *c in f[["pi", "pj", "r", "g", "b", "a"]].itertuples(index=False):
-            if i >= 0:
-                at = 4 * (SIZE * int(i) + int(j))
-                image[at : at + 4] = bytes(int(v) & 255 for v in c)
-        return pd.DataFrame([{**{k: f[k].iloc[0] for k in keys}, "png": encode(bytes(image))}])
+        named = {k: f[k].iloc[0] for k in keys}
+        image = np.zeros((SIZE, SIZE, 4), np.uint8)
+        f = f[f["pi"] >= 0]
+        image[f["pi"], f["pj"]] = f[["r", "g", "b", "a"]].to_numpy(np.int64) & 255
+        return pd.DataFrame([{**named, "png": encode(image.tobytes())}])
 
     if not keys:
         blank = pixels.sparkSession.createDataFrame([(-1, 0, 0, 0, 0, 0)], "pi int, pj int, r int, g int, b int, a int")

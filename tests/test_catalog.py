@@ -13,7 +13,7 @@ from quadrille.engine import Engine, Layer
 from quadrille.functions import geo, style as st
 from quadrille.operators import features as ft, raster
 from quadrille.plans import cells, stats
-from quadrille.sources import png, shapefile
+from quadrille.sources import png, shapefile, wkb
 from quadrille.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +181,68 @@ def test_shapefile_round_trip(spark, tmp_path):
     assert shapefile.parse_shape(struct.pack("<i", 0)) == ("null", [])
 
 
+def test_shapefile_folder_types_and_ids(spark, tmp_path):
+    for k in range(2):
+        shapefile.write(str(tmp_path / f"f{k}.shp"), "point", [([[(k + 0.5 * i, 1.0)]], {"n": f"{k}{i}"}) for i in range(3)], [("n", 4)])
+    data = bytearray((tmp_path / "f0.dbf").read_bytes())
+    data[32 + 11 : 32 + 12], data[32 + 17] = b"N", 0
+    (tmp_path / "f0.dbf").write_bytes(data)
+    spark.dataSource.register(shapefile.Shapefile)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda: spark.read.format("quadrille-shp").option("pushdown", "true").option("rowsPerPartition", 2).load(str(tmp_path))
+        assert [r.id for r in load().orderBy("id").collect()] == list(range(6))
+        assert [r.attrs["n"] for r in load().where("id > 1 AND id <= 3").orderBy("id").collect()] == ["02", "10"] and load().where("id = 9").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    got = shapefile.read_files(spark, str(tmp_path))
+    assert dict(got.dtypes)["n"] == "bigint" and sorted(r.n for r in got.collect()) == [0, 1, 2, 10, 11, 12]
+    e = shapefile.extents(spark, str(tmp_path)).orderBy("stem").first()
+    assert (e.kind, e.n_bytes, e.xmin, e.xmax) == ("point", os.path.getsize(tmp_path / "f0.shp"), 0.0, 1.0)
+    assert (tmp_path / "f0.prj").read_text().startswith("PROJCS") and (tmp_path / "f0.cpg").read_text() == "UTF-8"
+    assert shapefile.typed("***", "N") is None and shapefile.typed("2.50", "N") == 2.5 and shapefile.typed("T", "L") is True and shapefile.typed("x", "n") is None
+
+
+def test_well_known_binary(spark):
+    line = struct.pack("<BII4d", 1, 2, 2, 0.0, 1.0, 2.0, 3.0)
+    assert wkb.encode("linestring", [[(0.0, 1.0), (2.0, 3.0)]]) == line and wkb.decode(line) == ("linestring", [[(0.0, 1.0), (2.0, 3.0)]])
+    rings = [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]
+    for kind in ("polygon", "multilinestring", "multipolygon"):
+        assert wkb.decode(wkb.encode(kind, rings)) == (kind, rings)
+    assert wkb.decode(wkb.encode("multipoint", [[(1.0, 2.0)], [(3.0, 4.0)]])) == ("multipoint", [[(1.0, 2.0)], [(3.0, 4.0)]])
+    assert wkb.decode(struct.pack(">BI2d", 0, 1, 5.0, 6.0)) == ("point", [[(5.0, 6.0)]])
+    assert wkb.decode(struct.pack("<BII3d", 1, 0xA0000001, 4326, 5.0, 6.0, 7.0)) == ("point", [[(5.0, 6.0)]])
+    assert wkb.decode(struct.pack("<BI4d", 1, 3001, 5.0, 6.0, 7.0, 8.0)) == wkb.decode(struct.pack("<BI3d", 1, 2001, 5.0, 6.0, 7.0)) == ("point", [[(5.0, 6.0)]])
+    df = spark.createDataFrame([(1, bytearray(line)), (2, None)], "id long, wkb binary")
+    got = wkb.from_wkb(df).orderBy("id").collect()
+    assert got[0].kind == "linestring" and got[0].parts[0][1].y == 3.0 and got[1].parts is None
+    assert wkb.with_wkb(wkb.from_wkb(df), "linestring").where("id = 1").first().wkb == line
+
+
+def test_table_of_a_database(spark, tmp_path):
+    """Geometry bytes over JDBC, with the database that Spark brings along."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(k, bytearray(wkb.encode("point", [[(k * 1.0, 2.0)]]))) for k in range(5)], "id long, geom binary")
+    try:
+        df.write.jdbc(url, "shapes", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    except Exception as e:  # no such driver in this installation
+        pytest.skip(str(e)[:80])
+    got = wkb.read_table(spark, url, "shapes", "geom", driver="org.apache.derby.jdbc.EmbeddedDriver", partitionColumn="id", lowerBound=0, upperBound=5, numPartitions=2)
+    assert sorted((r.id if "id" in got.columns else r.ID, r.parts[0][0].x) for r in got.collect()) == [(k, float(k)) for k in range(5)]
+
+
+def test_quotes_in_a_rule(spark):
+    df = spark.createDataFrame([("it's",), ("a\\b",), (None,)], "item string").withColumn("m", F.lit(1))
+    got = {r.rule: r.m for r in stats.by_rule(df, "item", [st.Rule("=", "it's"), st.Rule("!=", "a\\b")]).collect()}
+    assert got == {"=it's": 1, "!=a\\b": 1}
+
+
+def test_built_rings_are_closed_and_wound(spark):
+    v = [(1, 0, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (4, 0), (4, 4)])] + [(1, 1, k, float(x), float(y)) for k, (x, y) in enumerate([(1, 1), (1, 2), (2, 2), (1, 1)])]
+    got = {r.ring: [(p.x, p.y) for p in r.coords] for r in ft.build_rings(spark.createDataFrame(v, "id long, ring int, k int, x double, y double"), "k", "ring").collect()}
+    assert got[0] == [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)] and got[1] == [(1.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     p = fx.points(spark, SF)
     p.repartition(3).write.parquet(str(tmp_path / "in"))
