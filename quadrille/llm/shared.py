@@ -2,30 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: While a scratch table is written, the shuffle files of its query go once it has ended, and Python gets small batches.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def parts(batch, column: int, rows: int, size: int = 1 << 20):
+    """Slices of an Arrow batch of at most so many rows and, unless it is one row, about so many bytes in a column of text or bytes."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
 
 class Scratch:
     """Tables written to the folder that all executors share, to cut lineage.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, local
-    mode) one under the working directory's warehouse is taken.  A lost executor
-    costs nothing: the files are not its own.
+    The folder is spark.checkpoint.dir; where that is unset, one under the warehouse
+    is taken in local mode (tests), and on a cluster it is an error, as executors
+    would each write to a disk of their own.  A lost executor costs nothing: the
+    files are not its own.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
         self.made = 0
+        if _open:
+            _open[-1].append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """Write df and read it again; the shuffle files behind it go as soon as it is written."""
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            conf.set(k, v)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
@@ -34,8 +69,52 @@ class Scratch:
         """Delete tables that no later step reads."""
         for t in tables:
             if path := getattr(t, "_scratch_path", None):
-                jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+    def remove(self) -> None:
+        """Delete all tables; what was made from them must have been written."""
+        self._delete(self.folder)
+
+
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleaned():
+    """At the end, remove the scratch tables of all operators called inside; their results must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.remove()
+
+
+#: Edges (of 16 bytes) that one task may hold.
+FEW = 500_000
+
+
+def _united(batches):
+    """(id, component_id) of the edges (u, v) of all batches, by union-find."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(find, ids)), pa.int64())], names=["id", "component_id"])
 
 
 def linked_groups(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,10 +124,13 @@ def linked_groups(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b"
     smallest neighbour, larger neighbours first, until the edges no longer change.
     Each step is one aggregation with map-side combining and one equi-join whose
     large partitions AQE may split, so a hub with a third of all edges is not one
-    task.  Self-links and repeated edges are harmless; no edges give no rows.
+    task.  Self-links and repeated edges are harmless; no edges give no rows.  Up to
+    FEW edges are united by one task at once.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, seen = scratch.keep(e), None
+    if now.count() <= FEW:
+        return scratch.keep(now.repartition(1).mapInArrow(_united, "id long, component_id long"))
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
