@@ -74,8 +74,8 @@ LISTED_LABEL = "spam-farm"
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter as u
 
-    pages = table(spark, sf_dir, "pages").select("page_id", u.host(F.col("url")).alias("host"), u.path(F.col("url")).alias("path"))
-    pages = pages.withColumn("canonical", u.canonical(F.col("host"), F.col("path")))
+    pages = table(spark, sf_dir, "pages").select("page_id", u.host(F.col("url")).alias("host"), u.path(F.col("url")).alias("path"), u.query(F.col("url")).alias("query"))
+    pages = pages.withColumn("canonical", u.canonical(F.col("host"), F.col("path"), F.col("query")))
     listed = pages.where(F.concat(F.lit("."), "host").contains(f".{LISTED_LABEL}."))
     judged = u.mark_listed(pages, "canonical", listed, "canonical")
     rule, verdict = u.best_rule(F.col("host"), F.col("path"), RULES)
@@ -85,14 +85,14 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') END AS canonical FROM p),
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]+)', 1) AS query FROM a),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || query END AS canonical FROM p),
 l AS (SELECT DISTINCT canonical FROM c WHERE contains('.' || host, '.spam-farm.') AND canonical IS NOT NULL),
 r(said, h, s) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
 m AS (SELECT c.page_id, c.host, c.path, c.canonical, arg_max(r.h || r.s, length(r.h || r.s)) AS rule, arg_max(r.said, length(r.h || r.s)) AS said
   FROM c LEFT JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.s) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM m
-""".replace("\\\\", "\\")
+"""
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
