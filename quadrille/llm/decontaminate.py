@@ -43,6 +43,7 @@ class Items:
             if ids:
                 self.rows.append((key, np.array(ids, np.int64)))
         self.base = len(self.vocabulary) + 1
+        self.short = [(key, ids) for key, ids in self.rows if len(ids) < NGRAM]
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, ids) in enumerate(self.rows):
             for i, code in enumerate(self.codes(ids)):
@@ -106,11 +107,13 @@ def _blocks(benchmark: DataFrame, key: str, text: str):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """(key, item_key, share, first_word, last_word): the passages aligned with a test item, the best one for each pair of rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    source = docs.select(F.col(key), F.col(text).alias("_text"))
+    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, share double, first_word int, last_word int"
-    item_type = pa.int64() if item_kind in ("bigint", "int") else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     made = None
     for block in _blocks(benchmark, item_key, item_text):
         shared = spark.sparkContext.broadcast(items := Items(block))
@@ -162,8 +165,7 @@ def _aligned(items: Items, ids: np.ndarray, min_share: float):
             _, back = smith_waterman(item[::-1], ids[a:end][::-1])
             yield key_, share, end - back, end - 1
     # items too short for an n-gram: their whole sequence
-    for item_key, item in items.rows:
-        if len(item) < NGRAM:
-            run = np.flatnonzero(np.all([ids[i : len(ids) - len(item) + 1 + i] == w for i, w in enumerate(item)], axis=0)) if len(ids) >= len(item) else []
-            if len(run):
-                yield item_key, 1.0, int(run[0]), int(run[0]) + len(item) - 1
+    for item_key, item in items.short:
+        run = np.flatnonzero(np.all([ids[i : len(ids) - len(item) + 1 + i] == w for i, w in enumerate(item)], axis=0)) if len(ids) >= len(item) else []
+        if len(run):
+            yield item_key, 1.0, int(run[0]), int(run[0]) + len(item) - 1
