@@ -685,6 +685,26 @@ for _g in ITEMS:
             query(f"vtile_{_kind}{_range}_{SHORT[_g]}", vtile_sql(_g, _style, *_at, _box if _g == "point" or _box is None else CUT))(_draw_query(_g, _style, _box))
 
 
+def engine_heat_sql(top: str, box=None) -> str:
+    """Data heat with a maximum and colours."""
+    lut = ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(st.gradient("Jet")))
+    return f"""WITH h AS ({data_heat_sql(box).replace('floor(w / 1)', f'floor(w / ({top}))')}), lut(v, r, g, b) AS (VALUES {lut})
+SELECT pi, pj, r, g, b, CAST(least(150 + (105 * v) // 255, 255) AS INT) AS a FROM h JOIN lut USING (v)"""
+
+
+# the largest cell of level 9 in 5 x 5 tiles around the drawn one, halved five times: the layer's switch level is 1
+_TOP = f"""SELECT greatest(1, floor(max(n) / 32)) FROM (SELECT count(*) AS n FROM points WHERE {geo.col('x', 9)} BETWEEN {(VX - 2) << 3} AND {((VX + 3) << 3) - 1} AND {geo.row('y', 9)} BETWEEN {(VY - 2) << 3} AND {((VY + 3) << 3) - 1} GROUP BY {geo.col('x', 9)}, {geo.row('y', 9)})"""
+for _suffix, _box in (("", None), ("_range", VCUT)):
+    query(f"engine_data_heat{_suffix}_pt", engine_heat_sql(_TOP, _box))(lambda spark, sf_dir, b=_box: _dense_engine(spark, sf_dir).tile("point", f"heat-Jet-3-{VX - 2},{VX + 2},{VY - 2},{VY + 2}", VZ, VX, VY, b))
+
+
+def _dense_engine(spark, sf_dir):
+    """Points drawn as data from zoom 2 on."""
+    from quadrille.engine import Engine, Layer
+
+    return Engine({"point": Layer(fx.points(spark, sf_dir), "point", 1)})
+
+
 @query("tile_png", f"""WITH t AS ({SQL['tile_single_pt']}) SELECT sha256(string_agg(CASE WHEN a IS NULL THEN '00000000' ELSE printf('%02x%02x%02x%02x', r, g, b, a) END, '' ORDER BY i, j)) AS pixels_sha256, CAST(count(a) AS BIGINT) AS n
 FROM range(256) x(i), range(256) y(j) LEFT JOIN t ON t.pi = i AND t.pj = j""")
 def tile_png(spark, sf_dir):

@@ -145,7 +145,23 @@ class Engine:
         return raster.render(got, s, layer.geometry, z, x, y, box, masks)
 
     def _heat(self, layer: Layer, s, z: int, x: int, y: int, box) -> DataFrame:
-        """Heat of cells: the maximum is that of the view, so the cells of all its tiles are read."""
+        """Heat of cells: the maximum is that of the view, so the cells of all its tiles are read.
+
+        Points beyond the switch level: heat of the points themselves; the maximum is that
+        of the finest cells, halved with each further zoom, 1 at least.
+        """
+        if z > layer.switch_level and layer.geometry == "point":
+            level = layer.switch_level + 8
+            x0, x1, y0, y1 = s.view
+            span = lambda a, b: (a << (level - z), ((b + 1) << (level - z)) - 1) if level >= z else (a >> (z - level), b >> (z - level))
+            cols, rows = span(x0, x1), span(y0, y1)
+            if layer.store and layer.store.has(level, ""):
+                found = layer.store.cells(layer.features.sparkSession, level, "", cols, rows)
+            else:
+                b = store.cells_box(level, cols, rows)
+                found = cells.point_cells(layer.features.where(geo.point_in_box("x", "y", b)), level, []).where(F.col("col").between(*cols) & F.col("row").between(*rows))
+            top = found.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.max("m"), F.lit(0)) / 2 ** (z - layer.switch_level))).alias("top"))
+            return raster.data_heat(layer.features, s, top, z, x, y, box).select("pi", "pj", *raster.shades(s, "point"))
         margin = max(1, raster.reach(s.radius))
         if layer.store and layer.store.has(z + 8, ""):
             spark, last = layer.features.sparkSession, 2 ** (z + 8) - 1

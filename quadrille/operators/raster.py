@@ -160,10 +160,15 @@ def heat(cells: DataFrame, style: Style, geometry: str, z: int, x: int, y: int,
     v = F.expr("CASE WHEN top > 0 THEN CAST(floor(w * m / top) AS BIGINT) ELSE 0 END")
     spread = near.select((F.col("col") - F.col("m_")).alias("col"), (F.col("row") + F.col("n_")).alias("row"), v.alias("v"))
     sums = in_box(window(spread, z, x, y, 0), z, box).groupBy("col", "row").agg(F.least(F.sum("v"), F.lit(255)).cast("int").alias("v")).where("v > 0")
+    return sums.select((F.col("row") - 256 * y).cast("int").alias("pi"), (F.col("col") - 256 * x).cast("int").alias("pj"), *shades(style, geometry))
+
+
+def shades(style: Style, geometry: str) -> list:
+    """r, g, b, a of a heat value v from 1 to 255."""
     lut = gradient(style.gradient)
     pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in lut)), F.col("v") + 1)
     a = F.expr("least(150 + CAST(floor(105 * v / 255) AS INT), 255)") if geometry == "point" else F.col("v")
-    return sums.select((F.col("row") - 256 * y).cast("int").alias("pi"), (F.col("col") - 256 * x).cast("int").alias("pj"), pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), a.alias("a"))
+    return [pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), a.alias("a")]
 
 
 def data_heat(points: DataFrame, style: Style, top: DataFrame, z: int, x: int, y: int, box=None) -> DataFrame:
