@@ -1,14 +1,21 @@
 """Exact n-gram Jaccard join and its linked groups.
 
 A document is the set of its distinct word n-grams, as 64-bit hashes; equal sets
-are one node.  Jaccard distance is a metric, so pivots split the nodes of a block
-into regions: with link radius r, whatever lies within r of the pivot is its core;
-a node farther than 2r from the pivot cannot link to a core node; those between
-are boundary nodes, replicated against the core nodes that the triangle inequality
-leaves (after each has met one node of the core, which joins most groups in linear
-time); the nodes outside the core go on with new pivots, block by block, four times
-as many in each round, until nothing is open.  A pivot meets its whole block; nodes
-known to be in one group are not compared again.
+are one node.  For given sizes Jaccard distance grows with the symmetric difference,
+a metric, which no image of it exceeds: a node's sketch of 1024 bits holds the parity
+of its hashes in as many classes, and the number of bits in which two sketches differ
+is a metric never above the symmetric difference.  Pivots split the nodes of a block
+into Voronoi regions of it: each node is at home in the region of its nearest pivot
+and a guest in every other region whose pivot is, by the triangle inequality, near
+enough that a node at home there may link to it (a window of twice the node's link
+radius beyond its nearest pivot, and of once beyond the region's own radius).
+Regions with more than LEAF nodes at home are split in the same way again, unless
+pivots cannot part them (all nodes about as far from each other as links reach, so
+that each is a guest nearly everywhere): such a block stays whole, and a task gets
+part of its nodes at home at a time.  Inside a leaf, a pair (a node at home, any node)
+is compared by its sets only if sizes, places and sketches allow a link and no group
+holds both: all such pairs if they are a few for each node, else first the nearest one
+of each node, as long as that joins groups.
 
 Pivots alone cannot tell unrelated texts apart (their distances to any pivot are
 all about 1, inside every window), so the first split is by shared rare hashes.
@@ -16,41 +23,63 @@ All hashes of all rows are counted in BUCKETS counters, which give one total ord
 of hashes, rare buckets first.  Of a set with s hashes that links to another one at
 most D = s - ceil(percent * s / 100) are missing there, so the first hash that two
 linked sets have in common is among the first D + 1 of both: each of these hashes
-makes a block, and a pair is only asked for where its places in the order allow a
-link if nothing before was common.  A passage that very many texts share comes last
-in the order and makes blocks only of texts that hold little else; their pivot is
-the one that holds least.  No link is lost.  The counters only bring order:
-collisions change the blocks, never the links.
+makes a block; a node stays in a block only where its place in the order allows a
+link if nothing before was common; blocks of the same nodes are one.  A passage that
+very many texts share comes last in the order and makes blocks only of texts that
+hold little else.  No link is lost.  The counters only bring order: collisions
+change the blocks, never the links.
+
+Each text is shingled in two scans.  The second one writes, once for each node, its
+first hashes, its sketch and the text in zstd, which takes about a third of the set's
+bytes; texts are fetched, and shingled again, only for pairs that are compared.
+Joins of blocks are merge joins at every size, so large keys can be split.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; fewer than n words are one n-gram; repeated rows are kept, each with its
-key; a null key never becomes a component id unless the whole group has no other.
+key; rows are tied to sets, not to keys, so null keys and keys on several texts link
+like others; a null key never becomes a component id unless the whole group has no
+other; extra columns of docs are not read.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, linked_groups
-
-#: Pivots of a block in the round after the first; blocks of so many open nodes are finished by it.
-SMALL = 16
-MEMO_WORDS = 500_000
+from .shared import FEW, Scratch, linked_groups, parts
+
+#: Pivots of a block or region in one round, nodes at home in a region that is not split further, and
+#: rows of all regions for each row of a block from which the block stays whole.
+PIVOTS, LEAF, GUESTS = 16, 1000, 4
+#: Pairs for each node that are compared at once.
+PAIRS = 8
+#: Longs of a sketch.
+SKETCH = 16
+#: Texts that are shingled together, and hashes that a worker keeps of sets it has just compared.
+TOGETHER, KEPT_HASHES = 128, 1_000_000
+#: Nodes that a task remembers to write equal sets once.
+SEEN = 100_000
 #: Counters of hashes (a fixed size: 8 MB wherever they are held) and counters of one row that carries them.
 BUCKETS, PART = 1 << 20, 1 << 10
-A = np.uint64(0x9E3779B97F4A7C15)
+A = 0x9E3779B97F4A7C15
+A_INVERSE = pow(A, -1, 1 << 64)
+#: A number for each byte, the same one for A-Z and a-z, and which bytes are white space.
+BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTES[65:91] = BYTES[97:123]
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers: dict[int, np.ndarray] = {}
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
+def _power(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        size = max(n, 1 << 18)
+        _powers[base] = np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, base, np.uint64)))
+    return _powers[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,17 +89,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, n: int, memo: _Words) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of words [^\\x20\\x09-\\x0D]+, A-Z lower-cased."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    size = min(n, len(w))
-    out = np.full(len(w) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = out * A + w[k : len(w) - size + 1 + k]
-    return np.unique(mix(out))
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct n-grams of words [^\\x20\\x09-\\x0D]+, A-Z lower-cased.
+
+    All texts are hashed at once: running sums of byte numbers times powers give the
+    hash of any word, and the words' hashes those of the n-grams.
+    """
+    data = b" ".join([*texts, b""])
+    b = np.frombuffer(data, np.uint8)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * _power(A, len(b)), out=sums[1:])
+    end = np.flatnonzero(BLANK[b])
+    start = np.append(0, end[:-1] + 1)
+    start, end = start[end > start], end[end > start]
+    word = mix((sums[end] - sums[start]) * _power(A_INVERSE, len(b))[start] + (end - start).astype(np.uint64))
+    gram = np.full(max(len(word) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        gram = gram * np.uint64(A) + word[k : len(word) - n + 1 + k] if len(gram) else gram
+    gram = mix(gram)
+    last = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    out, a = [], 0
+    for z in last.tolist():
+        if z - a >= n:
+            x = np.sort(gram[a : z - n + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
+        elif z > a:
+            short = np.full(1, z - a, np.uint64)
+            for k in range(a, z):
+                short = mix(short * np.uint64(A) + word[k : k + 1])
+            out.append(short)
+        else:
+            out.append(np.zeros(0, np.uint64))
+        a = z
+    return out
 
 
 def first_hashes(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -80,36 +131,43 @@ def first_hashes(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(seen, kind="stable")[: n + (-percent * n // 100) + 1]]
 
 
-def _node(s: np.ndarray) -> np.int64:
-    return np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH longs: for each class of hashes, whether the set holds an odd number of them."""
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _texts(column) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.to_pylist()]
 
 
 def _counted(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, n_shingles, node) for each row; for each partition, rows (part, counts) with its counters that are not all 0."""
     kind = docs.schema[key].dataType.simpleString()
-    key_type = None
+    names = ["_key", "n_shingles", "node", "part", "counts"]
 
     def run(batches):
-        nonlocal key_type
-        memo, counts = _Words(), np.zeros(BUCKETS, np.uint32)
+        key_type, counts = None, np.zeros(BUCKETS, np.uint32)
         for whole in batches:
             key_type = whole.schema.field(0).type
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                sets = [shingle_set(t, n, memo) for t in batch.column(1).to_pylist()]
-                if any(map(len, sets)):
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            for batch in parts(whole, 1, TOGETHER):
+                sets = shingle_sets(_texts(batch.column(1)), n)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), 1)
                 none = [pa.nulls(len(sets), kind) for kind in (pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), *none], names=["_key", "n_shingles", "node", "part", "counts"])
-        parts = counts.reshape(-1, PART)
-        held = np.flatnonzero(parts.any(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), *none], names=names)
+        shares = counts.reshape(-1, PART)
+        held = np.flatnonzero(shares.any(axis=1))
         if len(held):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(held), key_type), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(held, pa.int32()), pa.array([parts[i].tobytes() for i in held], pa.binary())], names=["_key", "n_shingles", "node", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(held), key_type), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(held, pa.int32()), pa.array([shares[i].tobytes() for i in held], pa.binary())], names=names)
 
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_shingles long, node long, part int, counts binary")
 
 
-def _totals(parts: DataFrame) -> np.ndarray:
+def _totals(shares: DataFrame) -> np.ndarray:
     """The counters of all partitions, summed part by part on the executors."""
 
     def add(batches):
@@ -120,96 +178,178 @@ def _totals(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
 
     total = np.zeros((BUCKETS // PART, PART), np.int64)
-    for part, counts in parts.repartition("part").mapInArrow(add, "part int, counts binary").collect():  # BUCKETS numbers
+    for part, counts in shares.repartition("part").mapInArrow(add, "part int, counts binary").collect():  # BUCKETS numbers
         total[part] = np.frombuffer(counts, np.int64)
     return total.ravel()
 
 
-def _signed(docs: DataFrame, key: str, text: str, n: int, percent: int, counts) -> DataFrame:
-    """(key, node, size, sigs) of the rows with words."""
-    kind = docs.schema[key].dataType.simpleString()
+def _signed(docs: DataFrame, text: str, n: int, percent: int, counts) -> DataFrame:
+    """(node, size, sigs, z, k0..) of the nodes: z is the text in zstd, k0.. the sketch; a node of several tasks has several rows."""
+    names = ["node", "size", "sigs", "z", *(f"k{i}" for i in range(SKETCH))]
 
     def run(batches):
-        memo = _Words()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                sets = [shingle_set(t, n, memo) for t in batch.column(1).to_pylist()]
-                sigs = [first_hashes(s, counts.value, percent).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=["_key", "node", "size", "sigs"])
-
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"_key {kind}, node long, size int, sigs array<long>")
-
-
-def _noded(texts: DataFrame, n: int) -> DataFrame:
-    """(node, _text) of the texts with words."""
+        import zstandard
 
-    def run(batches):
-        memo = _Words()
+        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                sets = [shingle_set(t, n, memo) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), batch.column(0)], names=["node", "_text"])
-
-    return texts.mapInArrow(run, "node long, _text string").where("node is not null")
-
-
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(node, s): the sets as sorted arrays, from (node, _text); texts of other nodes (a key on several texts) are passed over."""
+            for batch in parts(whole, 0, TOGETHER):
+                texts, rows = _texts(batch.column(0)), []
+                for t, s in zip(texts, shingle_sets(texts, n), strict=True):
+                    if len(s) and (node := _node(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(node)
+                        rows.append((node, len(s), first_hashes(s, counts.value, percent).view(np.int64), pack(t), sketch(s)))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                bits = np.array(columns[4], np.int64).reshape(-1, SKETCH).T
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.binary()), *map(pa.array, bits)], names=names)
+
+    kinds = "".join(f", k{i} long" for i in range(SKETCH))
+    return docs.select(F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"node long, size int, sigs array<long>, z binary{kinds}")
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, i, u): intersection and union sizes of the pairs (a, b) of nodes."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
 
     def run(batches):
-        memo = _Words()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                found = [(k, s) for k, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if len(s := shingle_set(t, n, memo)) and _node(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["node", "s"])
-
-    return texts.mapInArrow(run, "node long, s array<long>")
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, i, u): intersection and union sizes of the pairs."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("_s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("_t")), "b")
-    i = F.size(F.array_intersect("_s", "_t"))
-    # a key with several texts of one set has this set more than once
-    return both.select("a", "b", i.alias("i"), (F.size("_s") + F.size("_t") - i).alias("u")).dropDuplicates(["a", "b"])
-
-
-#: Of a block's rows: the number of the set's hashes, and of those that come before the block's own.
-PLACE = ("size", "pos")
-
-
-def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int):
-    """Whether two sets (size, pos) of a block can link if the block's hash is the first that they have in common."""
-    i = F.least(F.col(a[0]) - F.col(a[1]), F.col(b[0]) - F.col(b[1]))
-    return 100 * i >= percent * (F.col(a[0]) + F.col(b[0]) - i)
-
+        import zstandard
 
-def _can_link(percent: int):
-    """Whether a node can link to one that has no more than low hashes before the block's."""
-    return 100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("low"))
-
-
-def _open(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(sig, node, g, size, pos, k) of the blocks in which nodes of two groups or more are left, numbered by k from 1.
-
-    Nodes that cannot link even to the node with the fewest hashes before the block's leave.
-    """
-    from pyspark.sql import Window
-
-    block = rows.groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.min("pos").alias("low")).where("_g0 <> _g1")
-    left = rows.join(block.select("sig", "low"), "sig").where(_can_link(percent)).drop("low")
-    return scratch.keep(left.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("pos", "size", "node"))))
-
-
-def _with_pivots(blocks: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """(a, b): each block's first nodes with all its later ones, unless they are in one group already or cannot link."""
-    first = blocks.where(F.col("k") <= pivots).select("sig", F.col("node").alias("x"), F.col("g").alias("gx"), F.col("k").alias("kx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
-    later = blocks.where("k > 1").select("sig", F.col("node").alias("y"), F.col("g").alias("gy"), F.col("k").alias("ky"), F.col("size").alias("sy"), F.col("pos").alias("py"))
-    both = first.join(later, "sig").where("kx < ky and gx <> gy").where(_may_link(("sx", "px"), ("sy", "py"), percent))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        held = 0
+        for whole in batches:
+            for batch in parts(whole, 2, TOGETHER, 1 << 18):
+                a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
+                new = {k: z for k, z in [*zip(a, za, strict=True), *zip(b, zb, strict=True)] if k not in known}
+                for k, s in zip(new, shingle_sets([unpack(z) for z in new.values()], n), strict=True):
+                    known[k] = s
+                    held += len(s)
+                shared = []
+                for x, y in zip(a, b, strict=True):
+                    s, t = sorted((known[x], known[y]), key=len)
+                    place = np.searchsorted(t, s)
+                    shared.append(int((t[np.minimum(place, len(t) - 1)] == s).sum()))
+                union = [len(known[x]) + len(known[y]) - i for x, y, i in zip(a, b, shared, strict=True)]
+                while held > KEPT_HASHES:
+                    held -= len(known.popitem(last=False)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32()), pa.array(union, pa.int32())], names=["a", "b", "i", "u"])
+
+    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, i int, u int")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _blocks(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(blk, node, size, pos): the blocks of two nodes or more; pos is the number of the set's hashes before the block's own."""
+    rows = signed.select("node", "size", F.posexplode("sigs").alias("pos", "blk"))
+    shared = scratch.keep(rows.groupBy("blk").agg(F.min("node").alias("_n0"), F.max("node").alias("_n1")).where("_n0 < _n1").select("blk"))
+    block = scratch.keep(rows.join(shared.hint("merge"), "blk").groupBy("blk", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos")))
+    low = block.groupBy("blk").agg(F.min("pos").alias("low"))
+    able = block.join(low, "blk").where(100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("low"))).drop("low")
+    # blocks of the same nodes are one; a node's place there is its first one
+    same = able.groupBy("blk").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")).where("_n > 1")
+    same = scratch.keep(same)
+    named = same.join(same.groupBy("_n", "_x", "_y").agg(F.min("blk").alias("_one")), ["_n", "_x", "_y"]).select("blk", "_one")
+    out = scratch.keep(able.join(scratch.keep(named).hint("merge"), "blk").groupBy(F.col("_one").alias("blk"), "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos")))
+    scratch.drop(shared, block, same)
+    return out
+
+
+def _named(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """rows with blk, and the columns and the sketch with by after their names."""
+    return rows.select(*(["blk"] if "blk" in rows.columns else []), *(F.col(c).alias(c + by) for c in (*columns, *(f"k{i}" for i in range(SKETCH)))))
+
+
+def _apart(x: str, y: str) -> Column:
+    """The number of bits in which the sketches of two nodes differ."""
+    return sum((F.bit_count(F.col(f"k{i}{x}").bitwiseXOR(F.col(f"k{i}{y}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"k0{x}").bitwiseXOR(F.col(f"k0{y}"))))
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two nodes of a block can link, by sizes, sketches and what comes before the block's hash."""
+    both = F.col(f"size{x}") + F.col(f"size{y}")
+    i = F.least(F.col(f"size{x}") - F.col(f"pos{x}"), F.col(f"size{y}") - F.col(f"pos{y}"), F.shiftright(both - _apart(x, y), 1))
+    # sizes are asked first: they are cheap
+    return (100 * F.least(f"size{x}", f"size{y}") >= percent * F.greatest(f"size{x}", f"size{y}")) & (100 * i >= percent * (both - i))
+
+
+class _Links:
+    """What is known of pairs of nodes: those that have been compared, and the groups that links make."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, n: int, percent: int, scratch: Scratch):
+        self.texts, self.n, self.scratch = texts, n, scratch
+        self.linked = 100 * F.col("i") >= percent * F.col("u")
+        self.groups = scratch.keep(nodes.select("node", F.col("node").alias("g")))
+        self.done = None
+
+    def learn(self, pairs: DataFrame) -> bool:
+        """Compare the pairs (a, b) that are new, and unite the groups that their links join; tells whether there were any."""
+        keep, drop = self.scratch.keep, self.scratch.drop
+        pairs = pairs.distinct()
+        pairs = keep(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"))
+        self.done = pairs if self.done is None else self.done.union(pairs)
+        # only the texts that are asked for travel; up to FEW names of 8 bytes are told to all tasks
+        asked = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        told = F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge")
+        texts = keep(self.texts.join(told, "node", "left_semi").dropDuplicates(["node"]))
+        links = _measured(pairs, texts, self.n).where(self.linked).select("a", "b")
+        by = lambda x: self.groups.select(F.col("node").alias(x), F.col("g").alias(f"g{x}"))
+        new = keep(links.join(by("a"), "a").join(by("b"), "b").where("ga <> gb").select(*_ordered("ga", "gb")).distinct())
+        if found := not new.isEmpty():
+            joined = linked_groups(new, self.scratch)
+            groups = self.groups.join(joined.select(F.col("id").alias("g"), "component_id"), "g", "left").select("node", F.coalesce("component_id", "g").alias("g"))
+            self.groups, stale = keep(groups), self.groups
+            drop(stale, joined)
+        drop(new, texts, asked)
+        return found
+
+
+def _open(members: DataFrame, links: _Links, percent: int) -> DataFrame:
+    """members with their present groups g, of the blocks in which a node at home may link to one of another group."""
+    named = members.join(links.groups.hint("merge"), "node")
+    block = named.groupBy("blk").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1"), F.max("home").alias("_home"), F.min("pos").alias("_low")).where("_g0 <> _g1 and _home")
+    may = 100 * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.col("_low"))
+    return named.join(block.select("blk", "_low").hint("merge"), "blk").where(may).drop("_low")
+
+
+def _split(block: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(blocks that pivots cannot part, the Voronoi regions of the others as blocks), both (blk, node, size, pos, home, k0..)."""
+    turn = lambda j: F.xxhash64("node", F.lit(j))
+    chosen = block.where("home").groupBy("blk").agg(*(F.min_by("node", turn(j)).alias(f"_p{j}") for j in range(PIVOTS)))
+    chosen = chosen.select("blk", F.explode(F.array_distinct(F.array(*(f"_p{j}" for j in range(PIVOTS))))).alias("node"))
+    pivots = scratch.keep(_named(chosen.join(sketches, "node"), "p", "node"))
+    x = _named(block, "x", "node", "size", "pos", "home")
+    far = x.join(pivots, "blk").select("blk", "nodex", "sizex", "homex", F.struct(_apart("x", "p").alias("d"), F.xxhash64("nodex", "nodep").alias("turn"), F.col("nodep").alias("pivot")).alias("to"))
+    near = far.groupBy("blk", "nodex").agg(F.min("sizex").alias("size"), F.min("homex").alias("home"), F.sort_array(F.collect_list("to")).alias("by"))  # PIVOTS entries
+    radius = F.col("size") * ((100 - percent) / percent)
+    first = F.element_at("by", 1)
+    near = scratch.keep(near.select("blk", F.col("nodex").alias("node"), "home", first["pivot"].alias("_own"), F.filter("by", lambda p: p["d"] <= first["d"] + 2 * radius + 1e-6).alias("to")))
+    parted = scratch.keep(near.groupBy("blk").agg((F.sum(F.size("to")) <= GUESTS * F.count("*")).alias("_ok")).where("_ok").select("blk"))
+    region = near.join(parted, "blk").select("blk", "node", "home", "_own", F.explode("to").alias("to"))
+    region = region.join(block.drop("home"), ["blk", "node"])
+    region = region.select(F.xxhash64("blk", "to.pivot").alias("blk"), (F.col("home") & (F.col("to.pivot") == F.col("_own"))).alias("home"), F.col("to.d").alias("d"), *(c for c in block.columns if c not in ("blk", "home")))
+    region = scratch.keep(region)
+    reach = scratch.keep(region.where("home").groupBy("blk").agg(F.max("d").alias("_r")))
+    out = scratch.keep(region.join(reach, "blk").where(F.col("d") <= F.col("_r") + F.col("size") * ((100 - percent) / percent) + 1e-6).drop("d", "_r"))
+    whole = scratch.keep(block.join(parted, "blk", "left_anti"))
+    scratch.drop(pivots, near, parted, region, reach)
+    return whole, out
+
+
+def _leaves(block: DataFrame, sketches: DataFrame, links: _Links, percent: int, scratch: Scratch) -> DataFrame:
+    """The blocks in which links may be left, with those of more than LEAF nodes at home as regions where pivots part them."""
+    leaves = None
+    while True:
+        block = scratch.keep(_open(block, links, percent).drop("g"))
+        large = scratch.keep(block.where("home").groupBy("blk").agg(F.count("*").alias("_n")).where(F.col("_n") > LEAF).select("blk"))
+        if large.isEmpty():
+            return block if leaves is None else leaves.unionByName(block)
+        small = block.join(large, "blk", "left_anti")
+        whole, block = _split(scratch.keep(block.join(large, "blk", "left_semi")), sketches, percent, scratch)
+        leaves = (small if leaves is None else leaves.unionByName(small)).unionByName(whole)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -222,82 +362,36 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     scratch = Scratch(spark, "ngram")
     counted = scratch.keep(_counted(docs, key, text, n))
     counts = spark.sparkContext.broadcast(_totals(counted.where("part is not null").select("part", "counts")))
+    signed = scratch.keep(_signed(docs, text, n, percent, counts))
+    block = _blocks(signed, percent, scratch)
+    k = [f"k{i}" for i in range(SKETCH)]
+    sketches = scratch.keep(signed.select("node", *k).join(block.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+    links = _Links(signed.select("node", "z"), sketches.select("node"), n, percent, scratch)
+    block = block.join(sketches.hint("merge"), "node")
+
+    # each node meets the nearest one of the nodes with the fewest hashes before the block's own: this joins most groups
+    pivot = block.groupBy("blk").agg(F.min_by("node", F.col("pos").cast("long") * (1 << 32) + F.col("size")).alias("node"))
+    pivot = scratch.keep(_named(pivot.join(block, ["blk", "node"]), "p", "node", "size", "pos"))
+    met = _named(block, "x", "node", "size", "pos").join(pivot.hint("merge"), "blk").where("nodex <> nodep").where(_may_link("x", "p", percent))
+    links.learn(met.groupBy("nodex").agg(F.min_by("nodep", _apart("x", "p")).alias("nodep")).select(*_ordered("nodex", "nodep")))
+
+    leaves = _leaves(block.withColumn("home", F.lit(True)), sketches, links, percent, scratch)
+
+    def left() -> DataFrame:
+        """(nodex, nodey, d): the pairs of a leaf that may link and that no group holds both of."""
+        rows = _open(leaves, links, percent)
+        x, y = (_named(r, by, "node", "size", "pos", "g") for r, by in ((rows.where("home"), "x"), (rows, "y")))
+        return x.join(y.hint("merge"), "blk").where(F.col("gx") != F.col("gy")).where(_may_link("x", "y", percent)).select("nodex", "nodey", _apart("x", "y").alias("d"))
+
+    while True:
+        best = scratch.keep(left().groupBy("nodex").agg(F.min_by("nodey", "d").alias("nodey"), F.count("*").alias("n")))
+        pairs, nodes = best.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        if pairs <= PAIRS * nodes or not links.learn(best.select(*_ordered("nodex", "nodey"))):
+            break
+    if pairs:
+        links.learn(left().select(*_ordered("nodex", "nodey")))
+    scratch.drop(signed)
     base = counted.where("part is null").select("_key", "n_shingles", "node")
-    heads = base.where("node is not null").groupBy("node").agg(F.min("_key").alias("_key"))
-    # signatures of one row for each node, dealt by signature; the first pivot of a block is the node with the fewest hashes before its own
-    rows = _signed(docs, key, text, n, percent, counts).join(heads.select(F.col("_key").alias("_k"), F.col("node").alias("_n")), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("node") == F.col("_n")), "left_semi").dropDuplicates(["_key", "node"]).select("node", "size", F.posexplode("sigs").alias("pos", "sig"))
-    from pyspark.sql import Window
-
-    by_sig = Window.partitionBy("sig")
-    able = rows.select("sig", "node", *PLACE, F.min("pos").over(by_sig).alias("low")).where(_can_link(percent))
-    block = able.select("sig", "node", *PLACE, F.min(F.struct("pos", "size", "node")).over(by_sig)["node"].alias("pivot"), F.count("*").over(by_sig).alias("_n")).where("_n > 1").drop("_n")
-    block = scratch.keep(block.select("*", F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")))
-    chosen = heads.join(block.select("node"), "node", "left_semi")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").withColumn("_m", F.md5("_text")).dropDuplicates(["_key", "node", "_m"]).select("node", "_text")
-    # without a key, rows are found by their set
-    lone = _noded(docs.where(F.col(key).isNull()).select(F.col(text).alias("_text")), n).join(chosen.where("_key is null").select("node"), "node", "left_semi")
-    texts = texts.union(lone.withColumn("_m", F.md5("_text")).dropDuplicates(["node", "_m"]).select("node", "_text"))
-    sets = scratch.keep(_sets(texts, n))
-
-    linked = (100 * F.col("i") >= percent * F.col("u"))
-    r, r2 = 100 - percent, 2 * (100 - percent)
-    distance = 100 * (1 - F.col("i") / F.col("u"))
-    # each node meets one of its pivots, which leaves most blocks with nodes of one group
-    one = block.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    done = scratch.keep(_measured(one.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), sets))
-    links = scratch.keep(done.where(linked).select("a", "b"))
-    groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-
-    def learn(pairs: DataFrame) -> None:
-        """Measure the new pairs and bring done, links and groups up to date."""
-        nonlocal done, links, groups
-        pairs = scratch.keep(pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        known = scratch.keep(_measured(pairs, sets))
-        old = [pairs, known, done]
-        if not (new := known.where(linked).select("a", "b")).isEmpty():
-            old += [links, groups]
-            links = scratch.keep(links.union(new))
-            groups = scratch.keep(linked_groups(links, scratch).select(F.col("id").alias("node"), "component_id"))
-        done = scratch.keep(done.union(known))
-        scratch.drop(*old)
-
-    def in_groups(rows: DataFrame) -> DataFrame:
-        return rows.join(groups, "node", "left").withColumn("g", F.coalesce("component_id", "node")).drop("component_id")
-
-    # in the other blocks the pivot meets all nodes; those that it links to are its core
-    several = in_groups(block.select("sig", "node")).groupBy("sig").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 <> _g1").select("sig")
-    block, stale = scratch.keep(block.join(several, "sig", "left_semi")), block
-    scratch.drop(stale)
-    learn(block.where("node <> pivot").select("a", "b"))
-    met = block.join(done.select("a", "b", distance.alias("d"), linked.alias("core")), ["a", "b"], "left")
-    met = scratch.keep(met.select("sig", "pivot", "node", *PLACE, F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("core", F.lit(True)).alias("core")))
-    scratch.drop(block)
-
-    # a node outside the core meets one core node of each of its blocks, and one other node outside: most groups are joined by
-    # this, in time linear in the blocks, before any window or split is spelled out
-    outside = in_groups(met.where("not core")).join(groups.select(F.col("node").alias("pivot"), F.col("component_id").alias("_gp")), "pivot", "left")
-    outside = scratch.keep(outside.where(F.col("g") != F.coalesce("_gp", "pivot")).select("sig", "node", "d", "g"))
-    inner = met.where("core").groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node"), "node"))["node"].alias("y"))
-    outer = outside.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node"), "node"))["node"].alias("y"))
-    near = outside.where(F.col("d") <= r2 + 1e-6).join(inner, "sig").union(outside.join(outer, "sig")).where("node <> y")
-    learn(near.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")))
-    scratch.drop(outside)
-
-    # the boundary nodes that may still link to the core, and the nodes outside
-    named = scratch.keep(in_groups(met))
-    scratch.drop(met)
-    rest = named.where("not core")
-    edge = rest.where(F.col("d") <= r2 + 1e-6).select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("g").alias("gx"), F.col("size").alias("sx"), F.col("pos").alias("px"))
-    core = named.where("core").select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("g").alias("gy"), F.col("size").alias("sy"), F.col("pos").alias("py"))
-    window = edge.join(core, "sig").where((F.col("gx") != F.col("gy")) & (F.col("dy") >= F.col("dx") - r - 1e-6) & _may_link(("sx", "px"), ("sy", "py"), percent))
-    learn(window.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    block, pivots = _open(in_groups(rest.select("sig", "node", *PLACE)), percent, scratch), SMALL
-    while not block.isEmpty():
-        # a pivot has met all of its block that it can link to and leaves it; the others go on with more pivots
-        learn(_with_pivots(block, pivots, percent))
-        block, stale = _open(in_groups(block.where(F.col("k") > pivots).select("sig", "node", *PLACE)), percent, scratch), block
-        scratch.drop(stale)
-        pivots *= 4
-    named = base.join(groups, "node", "left").select("_key", "n_shingles", "node", F.coalesce("component_id", "node").alias("_g"))
+    named = base.join(links.groups, "node", "left").select("_key", "n_shingles", F.coalesce("g", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
     return named.join(low, "_g", "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_low", "_key").alias("component_id"))

@@ -10,8 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: While a scratch table is written, the shuffle files of its query go once it has ended, and Python gets small batches.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: While a scratch table is written, the shuffle files of its query go once it has ended, Python gets small batches, and
+#: tasks are of a size that makes files of some MB.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m", "spark.sql.files.maxPartitionBytes": "32m",
+}
 
 
 def parts(batch, column: int, rows: int, size: int = 1 << 20):
