@@ -8,15 +8,23 @@ The first digit is content-defined: of every SPAN - GRAM + 1 neighbouring
 GRAM-byte hashes the least one is an anchor, so each window holds an anchor, the
 same one in each of its copies.  Windows can only be equal if their anchors and
 the offsets to them are.  Anchors (one in about 137 bytes) are dealt by hash; those
-that stand once are dropped.  Of an anchor with equal surroundings only one
-occurrence goes on, with the bytes around it (no window reaches farther); the
-remaining digits, four fingerprints of SPAN / 4 bytes each, are sorted there.
-An anchor with more than GROUP different surroundings is dealt by window instead,
-with counts combined before the shuffle.
+that stand once are dropped.  Of an anchor with equal surroundings (no window
+reaches farther) only one occurrence goes on.
+
+The further digits narrow the offset: the windows at neighbouring offsets have a
+core that all of them hold, and lie in a hull.  A range of offsets whose core no
+other occurrence has is dropped; one whose hull another occurrence has, too, is
+repeated as a whole; of a core with several hulls, one range of each hull is split
+into narrower ranges (WIDTHS), at last into single windows, whose core and hull are
+the window.  Each pass is a grouping over all tasks with map-side combining and a
+join whose large partitions can be split, for frequent and rare anchors alike, so no
+task holds an anchor alone.  Strings are told apart by two 64-bit fingerprints
+(anchor and surroundings, core and hull).
 
 Defined results: null texts are empty; nothing is removed from texts shorter than
 SPAN; texts that occur more than once, repeated rows included, go entirely if they
-are at least SPAN bytes long; overlaps within one text count.
+are at least SPAN bytes long; overlaps within one text count; an empty table gives
+no rows; keys may be null or repeated; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +33,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-SPAN, GRAM, GROUP = 400, 128, 4000
+SPAN, GRAM = 400, 128
 LEFT = SPAN - GRAM  # bytes before an anchor that a window with it can reach
-DIGITS = 4
-PART = SPAN // DIGITS
+#: Offsets in a range, digit by digit.
+WIDTHS = (42, 6, 1)
+#: Occurrences whose fingerprints are made together, and texts that a task remembers to write them once.
+TOGETHER, SEEN = 1000, 100_000
 A = 0x9E3779B97F4A7C15 | 1
 A_INVERSE = pow(A, -1, 1 << 64)
 TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -95,19 +105,24 @@ def _around(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(th, n, marks): anchors with hash h, surroundings' hash c and position p."""
+    """(th, n, marks): anchors with hash h, surroundings' hash c and position p; marks is null where the task has written the text before."""
 
     def run(batches):
         kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("p", pa.int32())]))
+        seen: set[bytes] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                size, h_, c_, p_, ends = [], [], [], [], [0]
-                for t in batch.column(1).to_pylist():
-                    data = t.encode()
+                size, h_, c_, p_, ends, again = [], [], [], [], [0], []
+                for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    data = t.encode("utf-8", "surrogatepass")
                     size.append(len(data))
+                    again.append(th in seen)
                     count = 0
-                    if len(data) >= SPAN:
+                    if len(data) >= SPAN and not again[-1]:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(th)
                         prints = Prints(data)
                         at, h = anchors(prints)
                         a, b = _around(at, len(data))
@@ -117,145 +132,157 @@ def _anchored(docs: DataFrame) -> DataFrame:
                         count = len(at)
                     ends.append(ends[-1] + count)
                 flat = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((h_, np.int64), (c_, np.int64), (p_, np.int32))]
-                marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "c", "p"]))
+                marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "c", "p"]), mask=pa.array(again))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), marks.cast(kind)], names=["th", "n", "marks"])
 
-    return docs.select("th", "text").mapInArrow(run, "th string, n long, marks array<struct<h:long,c:long,p:int>>")
+    return docs.select("th", "text").mapInArrow(run, "th binary, n long, marks array<struct<h:long,c:long,p:int>>")
 
 
 def _surroundings(rows: DataFrame) -> DataFrame:
-    """(h, c, m, left, body) from (text, want array<struct<h,c,p,m>>)."""
+    """(h, c, left, body) from (th, text, want array<struct<h,c,p>>), once for each text of a task."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
-                out = []
-                for t, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    data = t.encode()
-                    for w in want:
-                        a, b = max(w["p"] - LEFT, 0), min(w["p"] + SPAN, len(data))
-                        out.append((w["h"], w["c"], w["m"], w["p"] - a, data[a:b]))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["h", "c", "m", "left", "body"])
-
-    return rows.mapInArrow(run, "h long, c long, m long, left int, body binary")
-
-
-def _windows(left: list[int], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prints]:
-    """(row, offset of the anchor in the window, start in the joined bodies) of every window; fingerprints of the joined bodies."""
-    joined = Prints(b"".join(bodies))
-    row, off, at = [], [], []
-    base = 0
-    for i, (a, body) in enumerate(zip(left, bodies, strict=True)):
-        s = np.arange(0, len(body) - SPAN + 1)
-        s = s[(s <= a) & (a + GRAM <= s + SPAN)]
-        row.append(np.full(len(s), i))
-        off.append(a - s)
-        at.append(base + s)
-        base += len(body)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(row), cat(off), cat(at), joined
-
-
-def radix_repeats(h: np.ndarray, left: list[int], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows that equal another one with the same anchor hash and offset.
-
-    Digit by digit, the most significant first; windows alone in their group leave.
-    """
-    row, off, at, prints = _windows(left, bodies)
-    group = mix(h[row].view(np.uint64) + off.astype(np.uint64) * np.uint64(A))
-    for d in range(-1, DIGITS):
-        if not len(row):
-            break
-        digit = group if d < 0 else mix(group + prints.of(at + d * PART, at + (d + 1) * PART))
-        _, inverse, count = np.unique(digit, return_inverse=True, return_counts=True)
-        stay = count[inverse] > 1
-        row, off, at, group = row[stay], off[stay], at[stay], digit[stay]
-    return row, off
-
-
-def _spans(offsets: np.ndarray) -> list[dict]:
-    """Merged [lo, hi) relative to the anchor from sorted window offsets (a window starts at -offset)."""
-    lo = np.sort(-offsets)
-    cut = np.flatnonzero(np.diff(lo) > SPAN) + 1
-    first, last = np.append(0, cut), np.append(cut - 1, len(lo) - 1)
-    return [{"lo": int(lo[a]), "hi": int(lo[b]) + SPAN} for a, b in zip(first, last, strict=True)]
-
-
-SPAN_ARROW = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-
-
-def _compared(sorted_rows: DataFrame) -> DataFrame:
-    """(h, c, spans) for rows (h, c, m, left, body) that are dealt and sorted by (h, c)."""
-
-    def flush(h, c, left, bodies):
-        row, off = radix_repeats(np.array(h, np.int64), left, bodies)
-        order = np.argsort(row, kind="stable")
-        row, off = row[order], off[order]
-        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-        spans = [_spans(x) for x in np.split(off, starts[1:])] if len(row) else []
-        who = [row[s] for s in starts]
-        return pa.RecordBatch.from_arrays([pa.array([h[i] for i in who], pa.int64()), pa.array([c[i] for i in who], pa.int64()), pa.array(spans, SPAN_ARROW)], names=["h", "c", "spans"])
-
-    def run(batches):
-        h, c, left, bodies = [], [], [], []
-        for batch in batches:
-            for hh, cc, ll, bb in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                if h and (hh, cc) == (h[-1], c[-1]):
-                    continue  # one row for each surroundings
-                if len(h) >= 1000 and hh != h[-1]:
-                    yield flush(h, c, left, bodies)
-                    h, c, left, bodies = [], [], [], []
-                h.append(hh), c.append(cc), left.append(ll), bodies.append(bb)
-        if h:
-            yield flush(h, c, left, bodies)
-
-    return sorted_rows.mapInArrow(run, "h long, c long, spans array<struct<lo:int,hi:int>>")
-
-
-def _exploded(rows: DataFrame) -> DataFrame:
-    """(h, c, off, w): a row for every window of the surroundings of very frequent anchors."""
+                want = batch.column(2)
+                h, c, p = (x.to_numpy(zero_copy_only=False) for x in want.flatten().flatten())
+                ends = np.append(0, np.cumsum(want.value_lengths().to_numpy(zero_copy_only=False)))
+                at, left, body = [], [], []
+                for i, (th, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    if th in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(th)
+                    data = t.encode("utf-8", "surrogatepass")
+                    own = slice(ends[i], ends[i + 1])
+                    a, b = _around(p[own], len(data))
+                    at.append(np.arange(ends[i], ends[i + 1]))
+                    left.append(p[own] - a)
+                    body += [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                at = np.concatenate([np.zeros(0, np.int64), *at])
+                left = np.concatenate([np.zeros(0, np.int32), *left]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at], pa.int64()), pa.array(c[at], pa.int64()), pa.array(left), pa.array(body, pa.binary())], names=["h", "c", "left", "body"])
+
+    return rows.select("th", "text", "want").mapInArrow(run, "h long, c long, left int, body binary")
+
+
+class Occurrences:
+    """Anchors with the bytes around them; ranges of window offsets are told apart by their cores and hulls."""
+
+    def __init__(self, h: np.ndarray, left: np.ndarray, bodies: list[bytes]):
+        self.h, self.left = h, left.astype(np.int64)
+        self.size = np.array(list(map(len, bodies)), np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.prints = Prints(b"".join(bodies))
+        #: the least and the greatest offset of a window that lies in the text
+        self.low, self.high = np.maximum(self.left + SPAN - self.size, 0), np.minimum(self.left, LEFT)
+
+    def ranges(self, row: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """(row, at, core, hull) of the ranges of occurrences that hold a window, the at-th ones of those given; first: their least offsets.
+
+        The core's fingerprint depends on the anchor's hash and the range as well, that
+        of the hull on where the text cuts it off.
+        """
+        last = np.minimum(first + width - 1, LEFT)
+        at = np.flatnonzero((first <= self.high[row]) & (last >= self.low[row]))
+        row, first, last = row[at], first[at], last[at]
+        left, base = self.left[row], self.base[row]
+        core = self.prints.of(base + left - first, base + left - last + SPAN)
+        core = mix(mix(self.h[row].view(np.uint64) + first.astype(np.uint64) * np.uint64(A)) + core)
+        if width == 1:
+            return row, at, core, core
+        start, stop = np.maximum(left - last, 0), np.minimum(left - first + SPAN, self.size[row])
+        clip = (left - start).astype(np.uint64) * np.uint64(4096) + (stop - left).astype(np.uint64)
+        return row, at, core, mix(self.prints.of(base + start, base + stop) + clip)
+
+
+#: Added to the offset of a range that is known to be repeated and goes on for the others' sake.
+KNOWN = 1 << 10
+
+
+def _digit(rows: DataFrame, width: int) -> DataFrame:
+    """(h, c, first, core, hull): one digit of the occurrences (h, c, left, body, firsts); firsts are the least offsets of the ranges."""
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                h, c = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
-                row, off, at, prints = _windows(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-                w = mix(prints.of(at, at + SPAN) + off.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array(off.astype(np.int32)), pa.array(w)], names=["h", "c", "off", "w"])
-
-    return rows.mapInArrow(run, "h long, c long, off int, w long")
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                h, c, left = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                firsts = batch.column(4)
+                row = np.repeat(np.arange(len(h)), firsts.value_lengths().to_numpy(zero_copy_only=False))
+                asked = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row, at, core, hull = Occurrences(h, left, batch.column(3).to_pylist()).ranges(row, asked % KNOWN, width)
+                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(c[row]), pa.array(asked[at].astype(np.int32)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], names=["h", "c", "first", "core", "hull"])
+
+    return rows.select("h", "c", "left", "body", "firsts").mapInArrow(run, "h long, c long, first int, core long, hull long")
+
+
+def _repeated(around: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, c, lo, hi): repeated bytes from lo up to hi relative to the anchor, for rows (h, c, left, body)."""
+    found, starts = None, F.sequence(F.lit(0), F.lit(LEFT), F.lit(WIDTHS[0]))
+    active = around.withColumn("firsts", starts)
+    for width, after in zip(WIDTHS, (*WIDTHS[1:], 0), strict=True):
+        ranges = scratch.keep(_digit(active, width))
+        # copies of a text in several tasks give the same surroundings again
+        least, most = F.min("c").alias("one"), F.max("c").alias("other")
+        same = (F.col("one") != F.col("other")).alias("same")
+        if after:
+            hulls = ranges.groupBy("core", "hull").agg(least, most)
+            cores = ranges.groupBy("core").agg(F.min("hull").alias("_a"), F.max("hull").alias("_b")).select("core", (F.col("_a") != F.col("_b")).alias("several"))
+            told = hulls.join(cores, "core").where("one <> other or several").select("core", "hull", same, F.when(F.col("several"), F.col("one")).alias("one"))
+        else:  # single windows
+            told = ranges.groupBy("core", "hull").agg(least, most).where("one <> other").select("core", "hull", same, F.lit(None).cast("long").alias("one"))
+        told = scratch.keep(told)
+        ranges, stale = scratch.keep(ranges.join(told.hint("merge"), ["core", "hull"]).select("h", "c", "first", "same", F.coalesce(F.col("c") == F.col("one"), F.lit(False)).alias("on"))), ranges
+        scratch.drop(stale, told)
+        last = F.least(F.col("first") + (width - 1), F.lit(LEFT))
+        part = ranges.where("same").where(F.col("first") < KNOWN).select("h", "c", (-last).alias("lo"), (SPAN - F.col("first")).alias("hi"))
+        found = part if found is None else found.union(part)
+        if after:  # one range of each hull goes on, where others have the core, too
+            first = F.when(F.col("same") & (F.col("first") < KNOWN), F.col("first") + KNOWN).otherwise(F.col("first"))
+            split = F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1), F.lit(after)), lambda x: first + x))
+            firsts = ranges.where("on").select("h", "c", split.alias("_f")).groupBy("h", "c").agg(F.collect_list("_f").alias("firsts"))  # LEFT entries at most
+            active = around.join(firsts.hint("merge"), ["h", "c"])
+    return found
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (lo, hi) with those that meet made one."""
+
+    def add(done: Column, x: Column) -> Column:
+        top = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(top["lo"].alias("lo"), F.greatest(top["hi"], x["hi"]).alias("hi"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["hi"] >= x["lo"]), longer).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<lo:int,hi:int>>"), add)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]), one row for each input row."""
     scratch = Scratch(docs.sparkSession, "substring")
     body = F.coalesce(F.col(text), F.lit(""))
-    source = docs.select(F.col(key).alias("_key"), body.alias("text"), F.md5(body).alias("th"))
-    heads = source.groupBy("th").agg(F.count("*").alias("copies"), F.min("_key").alias("_head"))
-    base = scratch.keep(_anchored(source).dropDuplicates(["th"]))
-    marks = base.select("th", "n", F.inline("marks")).where(F.col("n") >= SPAN)
-    kinds = scratch.keep(marks.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("th", "p")).alias("at")))
-    many = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    asked = kinds.join(many, "h").select("h", "c", "m", "at")
-    want = asked.groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "c", F.col("at.p").alias("p"), "m")).alias("want"))
-    fetched = source.join(want.join(heads, "th"), "th").where(F.col("_key").eqNullSafe(F.col("_head"))).select("text", "want")
-    around = scratch.keep(_surroundings(fetched))
-    found = _compared(around.where(F.col("m") <= GROUP).repartition("h").sortWithinPartitions("h", "c"))
-    windows = _exploded(around.where(F.col("m") > GROUP).dropDuplicates(["h", "c"]))
-    twice = windows.groupBy("h", "w").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    hot = windows.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.collect_list(F.struct((-F.col("off")).alias("lo"), (F.lit(SPAN) - F.col("off")).alias("hi"))).alias("spans"))
-    if not around.where(F.col("m") > GROUP).isEmpty():
-        found = found.union(hot)
-    whole = F.array(F.struct(F.lit(-LEFT).alias("lo"), F.lit(SPAN).alias("hi")))
-    cover = kinds.select("h", "c", "n").join(found, ["h", "c"], "left").select("h", "c", F.when(F.col("n") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    hits = marks.join(cover, ["h", "c"]).select("th", "n", "p", F.explode("spans").alias("s"))
+    source = docs.select(F.col(key).alias("_key"), body.alias("text"), F.unhex(F.md5(body)).alias("th"))
+    # one row for each text, with a number of its own
+    base = _anchored(source).groupBy("th").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.first("marks", ignorenulls=True).alias("marks"))
+    base = scratch.keep(base.select(F.monotonically_increasing_id().alias("d"), "th", (F.col("copies") > 1).alias("copied"), "n", "marks"))
+    marks = base.where(F.col("n") >= SPAN).select("d", "n", F.inline("marks"))
+    kinds = scratch.keep(marks.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min_by("p", "d").alias("p")))
+    many = scratch.keep(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    want = kinds.join(many.hint("merge"), "h").groupBy("d").agg(F.collect_list(F.struct("h", "c", "p")).alias("want")).join(base.select("d", "th"), "d").select("th", "want")
+    around = scratch.keep(_surroundings(source.select("text", "th").join(want.hint("merge"), "th")))
+    whole = kinds.where("n > 1").select("h", "c", F.lit(-LEFT).alias("lo"), F.lit(SPAN).alias("hi"))
+    spans = _repeated(around, scratch).union(whole)
+    cover = scratch.keep(spans.groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_s")).select("h", "c", merged(F.col("_s")).alias("spans")))  # LEFT spans at most
+    scratch.drop(around, kinds, many)
+    hits = marks.join(cover.hint("merge"), ["h", "c"]).select("d", "n", "p", F.explode("spans").alias("s"))
     lo, hi = F.greatest(F.lit(0), F.col("p") + F.col("s.lo")), F.least(F.col("n"), F.col("p") + F.col("s.hi"))
-    gone = hits.select("th", lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).where(F.col("hi") - F.col("lo") >= SPAN).groupBy("th").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("gone"))
-    facts = scratch.keep(heads.select("th", (F.col("copies") > 1).alias("copied")).join(gone, "th", "left").where("copied or gone is not null"))
-    joined = source.join(facts, "th", "left").select("_key", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("gone.lo").alias("lo"), F.col("gone.hi").alias("hi"))
+    gone = hits.select("d", lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).where(F.col("hi") - F.col("lo") >= SPAN).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("gone"))
+    facts = scratch.keep(base.select("d", "th", "copied").join(gone, "d", "left").where("copied or gone is not null").drop("d"))
+    scratch.drop(base, cover)
+    joined = source.join(facts.hint("merge"), "th", "left").select("_key", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("gone.lo").alias("lo"), F.col("gone.hi").alias("hi"))
     return _digested(joined, docs.schema[key].dataType.simpleString(), key, texts)
 
 
@@ -268,7 +295,7 @@ def _digested(joined: DataFrame, kind: str, key: str, texts: bool) -> DataFrame:
                 batch = whole.slice(start, 256)
                 out = []
                 for t, copied, lo, hi in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                    data = t.encode()
+                    data = t.encode("utf-8", "surrogatepass")
                     spans = [(0, len(data))] if copied and len(data) >= SPAN else list(zip(lo or (), hi or (), strict=True))
                     kept, pos, runs = [], 0, 0
                     end = None
