@@ -1,28 +1,33 @@
 """Near-duplicate vectors on robust-pruned flat graphs.
 
-Bitwise equal vectors are one node.  Sampled vectors are cluster centres; a node
-joins the shards of its BUILD nearest centres, so shards overlap.  Each shard is a
-flat graph: candidate neighbours pruned by the robust rule (drop a candidate that
-is ALPHA times closer to a kept neighbour than to the node), united with the
-reverse edges and, since nodes lie in several shards, across shards by the union
-of what is found.  Every node searches the shards of its PROBE nearest centres:
-greedy steps from the medoid with a beam, then range expansion: as long as nodes
-within the threshold turn up, their neighbours are visited too.  Whatever is
-returned has its cosine computed in double precision.
+Bitwise equal vectors are one node, with a number of its own.  Sampled vectors are
+cluster centres; a node is at home in the shard of its nearest centre and lies in
+those of its BUILD nearest ones, so shards overlap.  Each shard builds a flat graph:
+candidate neighbours pruned by the robust rule (drop a candidate that is ALPHA times
+closer to a kept neighbour than to the node) and reverse edges.  The adjacency lists
+of a node from all its shards are united.  Every node searches the shards of its
+PROBE nearest centres: greedy steps from the medoid with a beam, then range
+expansion: as long as nodes within the threshold turn up, their neighbours are
+visited too.  Whatever is returned has its cosine computed in double precision.
 
 However many centres a dense group has, all of them are searched: each shard knows
-the largest angle (of at most CLOSE times the threshold's) at which one of its nodes
-lies from its nearest centre, and every node that by the triangle inequality can be
-within the threshold of one such node is compared with the whole shard.  PROBE
-bounds only the search among nodes that lie farther from every centre.
-
-A shard of more than SHARD nodes is split by hash, and searched in all its parts;
-the nodes compared with a shard are split likewise, so no task holds an unbounded
-group.  recall() compares with brute force.
+the largest angle (of at most CLOSE times the threshold's) at which one of its close
+nodes lies from the centre, and every node that by the triangle inequality can be
+within the threshold of one such node is compared with all close nodes at home there.
+The graphs serve the links between nodes that lie farther from every centre.
+
+A task gives counts for its nodes and links that join the same groups, no pairs, so a
+dense group costs rows in proportion to its nodes; pairs are only written for links
+that a graph finds, which several shards may find.  A shard of more than SHARD nodes
+is split by hash, and searched in all its parts; the nodes compared with a shard are
+split likewise, so no task holds an unbounded group.  recall() compares with brute
+force.
 
 Defined results: null, zero or non-finite vectors (or such components) link with
 nothing; vectors of different length never link; an empty table gives no rows;
-repeated rows count as further vectors.
+repeated rows count as further vectors; keys may be repeated or null (a group's
+component_id is its smallest key; a row of a group without any key has null, and is
+not kept); extra columns are not read.
 """
 
 from __future__ import annotations
@@ -76,6 +81,21 @@ def robust_graph(x: np.ndarray) -> np.ndarray:
     return np.where(out < 0, np.arange(n)[:, None], out)
 
 
+def neighbours(names: np.ndarray, lists) -> np.ndarray:
+    """Adjacency lists (arrays of node names, or null) as places in names, without those that are not there; rows padded with the node itself."""
+    lists = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in lists]
+    row, flat = np.repeat(np.arange(len(names)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+    order = np.argsort(names)
+    place = np.searchsorted(names[order], flat)
+    at = order[np.minimum(place, len(names) - 1)]
+    there = names[at] == flat
+    row, at = row[there], at[there]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.tile(np.arange(len(names))[:, None], (1, max(1, rank.max(initial=-1) + 1)))
+    out[row, rank] = at
+    return out
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs with similarity of at least the threshold that greedy search and range expansion reach."""
     n, m = len(x), len(q)
@@ -169,43 +189,92 @@ def _asked(nodes: DataFrame, centres: dict[int, np.ndarray], floors: dict[int, n
     return nodes.mapInPandas(run, "shard long, n long").groupBy("shard").agg(F.sum("n"))
 
 
-def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], floors: dict[int, np.ndarray], parts: dict, turns: dict) -> DataFrame:
-    """(shard, part, turn, query, node, v): query is 0 for nodes of the shard, 1 for those that search its graph, 2 for those compared with all of it."""
+def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], floors: dict[int, np.ndarray], parts: dict, turns: dict, angle: float) -> DataFrame:
+    """(shard, part, turn, kind, close, node, copies, v): a row for each node and task in which it takes part.
+
+    kind: 0 at home in the shard, 1 another node of its graph, 2 compared with all of
+    it, 3 searches its graph; close: lies within CLOSE * angle of its nearest centre.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast((centres, floors, parts, turns))
+    names = ["shard", "part", "turn", "kind", "close", "node", "copies", "v"]
 
     def run(frames):
         c, floor, split, rounds = shared.value
         for f in frames:
             out = []
             for size, g in f.groupby(f["v"].map(len)):
-                sims = _unit(g["v"]) @ c[size].T
+                sims = np.clip(_unit(g["v"]) @ c[size].T, -1, 1)
                 order = np.argsort(-sims, axis=1)[:, :PROBE]
                 bound = sims >= floor[size]
-                names, vectors = g["node"].tolist(), g["v"].tolist()
-                for node, v, near, sure in zip(names, vectors, order, bound, strict=True):
-                    for s in near[:BUILD].tolist():
+                near = np.arccos(np.take_along_axis(sims, order[:, :1], 1)[:, 0]) <= CLOSE * angle
+                for node, copies, v, close, o, sure in zip(g["node"].tolist(), g["copies"].tolist(), g["v"].tolist(), near.tolist(), order, bound, strict=True):
+                    for k, s in enumerate(o[:BUILD].tolist()):
                         shard = s + size * (CENTRES + 1)
                         part = hash(node * 2654435761 % 1000003) % split[shard]
-                        out += [(shard, part, u, 0, node, v) for u in range(rounds.get(shard, 1))]
-                    for s in {*near.tolist(), *np.flatnonzero(sure).tolist()}:
+                        out += [(shard, part, u, min(k, 1), close, node, copies, v) for u in range(rounds.get(shard, 1))]
+                    for s in {*o.tolist(), *np.flatnonzero(sure).tolist()}:
                         shard = s + size * (CENTRES + 1)
                         turn = hash(node * 40503 % 999983) % rounds.get(shard, 1)
-                        out += [(shard, p, turn, 2 if sure[s] else 1, node, v) for p in range(split.get(shard, 0))]
+                        out += [(shard, p, turn, 2 if sure[s] else 3, close, node, copies, v) for p in range(split.get(shard, 0))]
                     if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=["shard", "part", "turn", "query", "node", "v"])
+                        yield pd.DataFrame(out, columns=names)
                         out = []
-            yield pd.DataFrame(out, columns=["shard", "part", "turn", "query", "node", "v"])
-
-    return nodes.mapInPandas(run, "shard long, part int, turn int, query int, node long, v array<double>")
-
-
-def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (node, v) with cosine >= threshold that the bound or the graphs find."""
+            yield pd.DataFrame(out, columns=names)
+
+    return nodes.mapInPandas(run, "shard long, part int, turn int, kind int, close boolean, node long, copies long, v array<double>")
+
+
+class Found:
+    """What one task finds, in rows that grow with its nodes, not with its pairs: links that join the same groups, and counts."""
+
+    def __init__(self):
+        self.rows: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray | int, n: np.ndarray | int) -> None:
+        if len(a):
+            self.rows.append(np.column_stack([a, np.broadcast_to(b, len(a)), np.broadcast_to(n, len(a))]).astype(np.int64))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(np.concatenate([np.zeros((0, 3), np.int64), *self.rows]), columns=["a", "b", "n"])
+
+
+def compared(x: np.ndarray, home: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> Found:
+    """All links of the asked nodes to the nodes at home, whose unit vectors x has.
+
+    Each link between close nodes is met once from either end.  One to a node that is
+    not close is met from that node's end alone if the other one is close, and counts
+    for both; links between two that are not close are left to the graphs.
+    """
+    found, names, copies = Found(), home["node"].to_numpy(), home["copies"].to_numpy()
+    close = home["close"].to_numpy()
+    group, seen, extra = np.arange(len(x)), np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    for s in range(0, len(asked), 500):
+        some = asked.iloc[s : s + 500]
+        hit = (_unit(some["v"]) @ x.T >= threshold) & close & (some["node"].to_numpy()[:, None] != names)
+        n = hit @ copies
+        found.add(some["node"].to_numpy()[n > 0], -1, n[n > 0])
+        extra += some["copies"].to_numpy()[~some["close"].to_numpy()] @ hit[~some["close"].to_numpy()]
+        first = hit.argmax(1)
+        for i in np.flatnonzero(n > 0).tolist():
+            at = np.flatnonzero(hit[i])
+            seen[at] = True
+            own = np.unique(group[at])
+            if len(own) > 1:
+                group[np.isin(group, own[1:])] = own[0]
+        found.add(some["node"].to_numpy()[n > 0], names[first[n > 0]], 0)
+    at = np.flatnonzero(seen)
+    found.add(names[at], names[group[at]], 0)
+    found.add(names[extra > 0], -1, extra[extra > 0])
+    return found
+
+
+def links_of(nodes: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(edges (a, b), counts (node, more)) of nodes (node, copies, v): edges join what links join; more are the rows of other nodes that a node links to."""
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("v")).count().collect()}
     centres, floors = {}, {}
     for size, n in sizes.items():
         k = min(CENTRES, max(1, round(n / SHARD * BUILD)))
-        chosen = nodes.where(F.size("v") == size).orderBy(F.xxhash64(F.lit("centre"), "node"), "node").limit(k).collect()
+        chosen = nodes.where(F.size("v") == size).orderBy(F.xxhash64(F.lit("centre"), "v"), "v").limit(k).collect()
         c = np.array([r.v for r in chosen])
         centres[size] = c / np.linalg.norm(c, axis=1, keepdims=True)
         floors[size] = np.full(len(c), 2.0)
@@ -217,46 +286,58 @@ def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
             floors[shard // (CENTRES + 1)][shard % (CENTRES + 1)] = np.cos(min(reach + angle, np.pi)) - 1e-9
     turns = {shard: max(1, -(-n // (2 * SHARD))) for shard, n in _asked(nodes, centres, floors).collect()}
 
+    def graph_rows(f: pd.DataFrame) -> pd.DataFrame:
+        """Adjacency lists of one shard, built by its first turn."""
+        names = f["node"].to_numpy()
+        graph = robust_graph(_unit(f["v"])) if not f["close"].all() else np.zeros((len(names), 0), np.int64)
+        return pd.DataFrame({"node": names, "near": [names[x].tolist() for x in graph]})
+
+    dealt = scratch.keep(_dealt(nodes, centres, floors, parts, turns, angle))
+    by = ["shard", "part", "turn"]
+    # a node of several shards has the neighbours of all of them; lists are only made where nodes lie far from every centre
+    lists = dealt.where("kind < 2 and turn = 0").groupBy("shard", "part").applyInPandas(graph_rows, "node long, near array<long>")
+    lists = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # BUILD lists
+    lists = scratch.keep(lists)
+
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        build, out = f[f["query"] == 0], [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
-        if not len(build) or len(build) == len(f):
-            return out[0]
-        x, names = _unit(build["v"]), build["node"].to_numpy()
-
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
-
-        ask = f[f["query"] == 2]
-        for s in range(0, len(ask), 500):
-            some = ask.iloc[s : s + 500]
-            i, j = np.nonzero(_unit(some["v"]) @ x.T >= threshold)
-            add(some["node"].to_numpy()[i], names[j])
-        ask = f[f["query"] == 1]
-        graph = robust_graph(x) if len(ask) else None
-        for s in range(0, len(ask), 2000):
-            some = ask.iloc[s : s + 2000]
-            q = _unit(some["v"])
-            i, j = range_search(x, graph, q, threshold - 1e-9)
-            exact = np.einsum("id,id->i", q[i], x[j]) >= threshold
-            add(some["node"].to_numpy()[i[exact]], names[j[exact]])
-        return pd.concat(out)
-
-    return _dealt(nodes, centres, floors, parts, turns).groupBy("shard", "part", "turn").applyInPandas(search, "a long, b long").distinct()
+        home = f[f["kind"] == 0]
+        found = Found()
+        if len(home):
+            found = compared(_unit(home["v"]), home, f[f["kind"] == 2], threshold)
+        ask = f[(f["kind"] >= 2) & ~f["close"]]
+        members = f[f["kind"] < 2]
+        if len(ask) and not members["close"].all():
+            names, x = members["node"].to_numpy(), _unit(members["v"])
+            graph = neighbours(names, members["near"])
+            for s in range(0, len(ask), 2000):
+                some = ask.iloc[s : s + 2000]
+                q = _unit(some["v"])
+                i, j = range_search(x, graph, q, threshold - 1e-9)
+                exact = (np.einsum("id,id->i", q[i], x[j]) >= threshold) & ~members["close"].to_numpy()[j]
+                a, b = some["node"].to_numpy()[i[exact]], names[j[exact]]
+                found.add(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], 1)
+        return found.frame()
+
+    listed = dealt.where("kind < 2").join(lists, "node", "left").union(dealt.where("kind >= 2").select("node", *(c for c in dealt.columns if c != "node"), F.lit(None).alias("near")))
+    rows = scratch.keep(listed.groupBy(*by).applyInPandas(search, "a long, b long, n long"))
+    pairs = rows.where("n = 1 and b >= 0").distinct()  # of nodes far from every centre
+    edges = rows.where("b >= 0 and a <> b").select("a", "b").distinct()
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    more = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").select("a", F.col("copies").alias("n")).union(rows.where("b < 0").select("a", "n"))
+    return edges, more.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(key, n_links, component_id, kept), one row for each input row; key is an integer column."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    good = nodes_of(vectors, key, vector)
-    same = good.groupBy("v").agg(F.count("*").alias("copies"), F.min("_key").alias("node"))
-    same = scratch.keep(same.where("node is not null"))
-    pairs = scratch.keep(similar_pairs(same.select("node", "v"), threshold))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = both.join(same.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("_more"))
-    groups = linked_groups(pairs, scratch)
-    facts = same.join(more, F.col("node") == F.col("a"), "left").join(groups, F.col("node") == F.col("id"), "left")
-    facts = facts.select("v", (F.col("copies") - 1 + F.coalesce("_more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    rows = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).join(facts, F.col("_v") == F.col("v"), "left")
+    same = nodes_of(vectors, key, vector).groupBy("v").agg(F.count("*").alias("copies"), F.min("_key").alias("low"))
+    same = scratch.keep(same.select(F.monotonically_increasing_id().alias("node"), "*"))  # numbered once, as written
+    edges, counts = links_of(same.select("node", "copies", "v"), threshold, scratch)
+    groups = linked_groups(edges, scratch)
+    facts = same.join(groups.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left").withColumn("g", F.coalesce("component_id", "node"))
+    low = scratch.keep(facts.groupBy("g").agg(F.min("low").alias("_low")))
+    facts = facts.join(low, "g").select("v", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.col("_low").alias("component_id"))
+    rows = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).join(scratch.keep(facts), F.col("_v") == F.col("v"), "left")
     component = F.coalesce("component_id", "_key")
     return rows.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("_key") == component, F.lit(False)).alias("kept"))
 
