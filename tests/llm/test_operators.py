@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import struct
 import time
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from quadrille.llm import bpe, chat, decontaminate, embedding, langid, linededup, ngram_join, substring, toxicity, urlfilter
@@ -80,30 +82,54 @@ def test_bpe_replaces_a_column_of_the_same_name(spark):
     assert back.columns == ["token_ids", "text"] and bytes(back.first().text) == b"a b"
 
 
+def line_chunks(text):
+    """The chunks (lists of lines) of a text: a rolled hash of two neighbouring lines that is 0 modulo 3 ends one."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    lines = text.split("\n")
+    hs = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
+    out, own = [], []
+    for i, x in enumerate(lines):
+        own.append(x)
+        near = [hs[max(i - k, 0)] ^ k for k in range(2)]
+        rolled = sum(abs(y) % 1_000_003 * (1 if y > 0 else -1) for y in near)
+        if i == len(lines) - 1 or i >= 1 and signed(xxhash.xxh64_intdigest(struct.pack("<q", rolled), 42)) % 3 == 0:
+            out.append(own)
+            own = []
+    return out
+
+
 def test_line_dedup(spark, docs):
     block = "first line of it\nsecond line here\nthird line too\nfourth and so on\nfifth line\nsixth one\nseventh line\neighth"
     all_ = docs.union(odd(spark, block, "intro words\n" + block, block + "\ntail"))
-    got = linededup.drop_repeated_chunks(all_.where("doc_id is not null")).collect()
-    seen, want = set(), {}
-    for r in sorted(all_.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"), linededup.chunk_array(F.col("text")).alias("c")).collect(), key=lambda r: (r.doc_id, r.h)):
-        if r.c is None:
-            want[r.doc_id, r.h] = None
-            continue
-        kept = []
-        for c in r.c:
-            if c.n >= 2 and c.body in seen:
+    rows = all_.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    seen, want, cut = set(), {}, {}
+    for r in sorted({(r.doc_id, r.h, r.text) for r in rows}, key=lambda r: r[:2]):
+        kept, cut[r] = [], 0
+        for c in line_chunks(r[2]) if r[2] is not None else []:
+            if len(c) >= 2 and tuple(c) in seen:
+                cut[r] += 1
                 continue
-            seen |= {c.body} if c.n >= 2 else set()
-            kept.append(c.body)
-        want[r.doc_id, r.h] = "\n".join(kept)
-    assert len(got) == len(want) or len(got) > 200
-    assert collections.Counter(str(r.text) for r in got) == collections.Counter(map(str, want.values()))
+            seen |= {tuple(c)} if len(c) >= 2 else set()
+            kept += c
+        want[r] = None if r[2] is None else "\n".join(kept)
+    assert sum(cut.values()) > 5
+    got = linededup.drop_repeated_chunks(all_.where("doc_id is not null")).collect()
+    assert collections.Counter((r.doc_id, r.text, r.removed_chunks) for r in got) == collections.Counter((r.doc_id, want[r.doc_id, r.h, r.text], cut[r.doc_id, r.h, r.text]) for r in rows)
     assert linededup.drop_repeated_chunks(odd(spark)).count() == 5
     clash = docs.withColumn("_pos", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("removed_chunks", F.lit(9))
     assert set(linededup.drop_repeated_chunks(clash).columns) == {*clash.columns}
     assert linededup.drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_without_keys(spark):
+    """Rows without a key are documents by their text; the order among them is that of the text's hash."""
+    same = "one line of it\nanother line\na third one\nand the last"
+    df = spark.createDataFrame([(None, same), (None, same), (None, "x\n" + same), (4, same)], "doc_id long, text string")
+    got = linededup.drop_repeated_chunks(df, over_words=3).collect()
+    assert [r.text for r in got if r.doc_id == 4] == [""] and len(got) == 4
+    assert sum(r.text == same for r in got) == 2 or sum(r.text == "x\n" + same for r in got) == 1
+
+
 def test_repeated_runs_of_lines_equal_brute_force(spark, docs):
     """Of the lines that lie in runs of over 50 words which occurred before none stays, no other goes but in whole chunks."""
     say = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
@@ -113,25 +139,7 @@ def test_repeated_runs_of_lines_equal_brute_force(spark, docs):
     texts += [[say(20, 20)] * 9, [say(21, 50), say(22, 1), say(23, 50)], [say(21, 50), say(24, 1), say(23, 50)]]
     added = [(9000 + i, "\n".join(t), None, None, 0) for i, t in enumerate(texts)]
     rows = docs.where("doc_id is not null").union(spark.createDataFrame([*added, (9100, None, None, None, 0), (9101, "", None, None, 0), (9000, added[0][1], None, None, 0)], TEXT))
-    plain = {(r.doc_id, r.h): r for r in rows.select("doc_id", "text", F.xxhash64("text").alias("h"), linededup.chunk_array(F.col("text")).alias("c")).collect()}
-    seen_runs, seen_chunks, want = set(), set(), {}
-    for at, r in sorted(plain.items()):
-        lines = [] if r.text is None else r.text.split("\n")
-        gone, first = np.zeros(len(lines), bool), 0
-        for c in r.c or []:
-            if c.n >= 2:
-                gone[first : first + c.n] |= c.body in seen_chunks
-                seen_chunks.add(c.body)
-            first += c.n
-        for a in range(len(lines)):
-            words, body = 0, ()
-            for b in range(a, len(lines)):
-                words, body = words + len(lines[b].split()), (*body, lines[b])
-                if words > 50:
-                    if body in seen_runs:
-                        gone[a : b + 1] = True
-                    seen_runs.add(body)
-        want[at] = None if r.text is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    want = brute_lines((r.doc_id, r.h, r.text) for r in rows.select("doc_id", "text", F.xxhash64("text").alias("h")).collect())
     out = linededup.drop_repeated_chunks(rows, over_words=50).collect()
     assert len(out) == rows.count() and {(r.doc_id, r.text) for r in out} == {(k, t) for (k, _), t in want.items()}
     kept = {r.doc_id: r for r in out if r.doc_id >= 9000}
@@ -140,31 +148,68 @@ def test_repeated_runs_of_lines_equal_brute_force(spark, docs):
     assert linededup.drop_repeated_chunks(docs.limit(0), over_words=50).count() == 0
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_ngram_groups_equal_brute_force(spark, docs, n, percent):
-    words = "w{} ".format
-    near = "".join(words(i) for i in range(60))
-    rows = docs.union(spark.createDataFrame([(9001, near, None, None, 0), (9002, near + "more", None, None, 0), (9003, near.upper(), None, None, 0), (9004, "two words", None, None, 0), (9005, "Two  words", None, None, 0), (9006, None, None, None, 0), (9007, "", None, None, 0), (9004, "two words", None, None, 0)], TEXT))
-    got = sorted(tuple(r) for r in ngram_join.near_groups(rows, n=n, percent=percent).collect())
-    sets, parent = {}, {}
-    for r in rows.collect():
-        w = (r.text or "").encode().lower().split()
-        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-        parent[r.doc_id] = r.doc_id
+def brute_groups(rows, n, percent):
+    """{row number: smallest row number of its group} and set sizes, by comparing all pairs that share a word n-gram."""
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            common = len(sets[a] & sets[b])
-            if common and 100 * common >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            common = len(a & sets[j])
+            if common and 100 * common >= percent * len(a | sets[j]):
+                x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    assert got == sorted((r.doc_id, len(sets[r.doc_id]), find(r.doc_id)) for r in rows.collect())
+    return [find(i) for i in range(len(sets))], list(map(len, sets))
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_ngram_groups_equal_brute_force(spark, docs, n, percent):
+    words = "w{} ".format
+    near = "".join(words(i) for i in range(60))
+    rows = docs.union(spark.createDataFrame([(9001, near, None, None, 0), (9002, near + "more", None, None, 0), (9003, near.upper(), None, None, 0), (9004, "two words", None, None, 0), (9005, "Two  words", None, None, 0), (9006, None, None, None, 0), (9007, "", None, None, 0), (9004, "two words", None, None, 0)], TEXT))
+    rows = rows.withColumn("node", F.lit(1)).withColumn("blk", F.lit(2)).withColumn("component_id", F.lit(3))
+    got = sorted(tuple(r) for r in ngram_join.near_groups(rows, n=n, percent=percent).collect())
+    plain = sorted((r.doc_id, r.text) for r in rows.collect())
+    roots, sizes = brute_groups([t for _, t in plain], n, percent)
+    assert got == sorted((plain[i][0], sizes[i], plain[roots[i]][0]) for i in range(len(plain)))
+
+
+@pytest.mark.parametrize("leaf,guests,pairs", [(4, 99, 8), (4, 0, 0), (30, 4, 0)])
+def test_ngram_regions_lose_no_link(spark, monkeypatch, leaf, guests, pairs):
+    """Chains and clusters of edited copies, with regions split to a few nodes, kept whole, and compared by the nearest pair first."""
+    for name, value in (("LEAF", leaf), ("GUESTS", guests), ("PAIRS", pairs), ("PIVOTS", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(9)
+    texts = []
+    for c in range(4):
+        base = [f"c{c}w{i}" for i in range(90)]
+        for _ in range(28):
+            t = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(0, 5))):
+                t[at] = f"x{rng.integers(0, 10_000)}"
+            texts.append(" ".join(t[int(rng.integers(0, 6)) :]))
+            if rng.random() < 0.1:
+                base = t
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=4, percent=85).collect()}
+    roots, _ = brute_groups(texts, 4, 85)
+    assert [got[i] for i in range(len(texts))] == roots and 8 < len(set(roots)) < 100
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(10)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b, a[: int(rng.integers(0, len(a) + 1))]]))
+        apart = sum(int(x).bit_count() for x in (ngram_join.sketch(a).view(np.uint64) ^ ngram_join.sketch(b).view(np.uint64)))
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
 
 
 def test_ngram_links_through_rows_without_a_key(spark):
@@ -193,7 +238,7 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-def test_repeated_bytes_equal_brute_force(spark, docs, monkeypatch):
+def test_repeated_bytes_equal_brute_force(spark, docs):
     rng = np.random.default_rng(1)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     shared = noise(450)
@@ -202,11 +247,26 @@ def test_repeated_bytes_equal_brute_force(spark, docs, monkeypatch):
     plain = [(r.doc_id, (r.text or "").encode()) for r in rows.collect()]
     want = brute_repeats(plain)
     assert sorted(map(tuple, substring.remove_repeats(rows).collect()), key=str) == want
-    monkeypatch.setattr(substring, "GROUP", 1)  # the way of very frequent anchors
-    assert sorted(map(tuple, substring.remove_repeats(rows).collect()), key=str) == want
     assert substring.remove_repeats(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_edited_copies_equal_brute_force(spark, weak):
+    """Many texts around one passage that differ in a few places, at any distance from its anchors; also for a very frequent passage."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: bytes(rng.integers(97, 99 if weak else 123, n, dtype=np.uint8)).decode()
+    base, rows = letters(1300), []
+    for i in range(60):
+        t = list(base)
+        for at in rng.integers(0, len(t), int(rng.integers(0, 5))):
+            t[at] = "x"
+        a, z = rng.integers(0, 500, 2)
+        rows.append((i, letters(int(rng.integers(0, 40))) + "".join(t[a : len(t) - z]) + letters(int(rng.integers(0, 40)))))
+    rows += [(100 + i, letters(30) + base[300:900] + letters(30)) for i in range(40)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats([(k, t.encode()) for k, t in rows])
+
+
 def test_leaks(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     item = items.orderBy("item_id").first()
@@ -232,6 +292,48 @@ def test_edits_do_not_hide_a_leak(spark, every, copies):
     assert {(k, i) for k, i, _ in rows} <= got
 
 
+def brute_alignment(item, text):
+    """Smith-Waterman with linear gaps, cell by cell."""
+    table, best = [[0] * (len(text) + 1) for _ in range(len(item) + 1)], 0
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(text, 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (2 if a == b else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+            best = max(best, table[i][j])
+    return best
+
+
+def test_leaks_equal_brute_force(spark):
+    """All pairs of texts and items by whole tables, where they share three words in a row."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    items = [(f"i{k}", word(int(rng.integers(2, 30)))) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        body = word(int(rng.integers(0, 40)))
+        copy = list(items[rng.integers(0, 12)][1])
+        for at in rng.integers(0, len(copy), int(rng.integers(0, 9))):
+            copy[at : at + 1] = [[], word(1), word(2)][rng.integers(0, 3)] if at < len(copy) else []
+        at = int(rng.integers(0, len(body) + 1))
+        texts.append(body[:at] + copy + body[at:])
+    want = {}
+    for d, t in enumerate(texts):
+        for key, item in items:
+            grams = {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+            if len(item) < 3:
+                if any(t[i : i + len(item)] == item for i in range(len(t))):
+                    want[d, key] = 1.0
+            elif any(tuple(item[i : i + 3]) in grams for i in range(len(item) - 2)):
+                share = brute_alignment(item, t) / (2 * len(item))
+                if share >= decontaminate.MIN_SHARE:
+                    want[d, key] = share
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id int, text string").withColumn("share", F.lit(1)).withColumn("_text", F.lit(2))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, bench).collect()}
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    numbered = spark.createDataFrame([(k, " ".join(x)) for k, (_, x) in enumerate(items)], "item_id int, text string")
+    assert {(r.doc_id, f"i{r.item_id}") for r in decontaminate.leaks(docs, numbered).collect()} == want.keys()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
@@ -251,6 +353,19 @@ def test_vectors(spark):
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_keys(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 1.0]), (7, [1.0, 0.01]), (None, [-1.0, 0.0]), (9, [-1.0, 0.01]), (None, [1.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(df).collect()), key=lambda x: (x[0], x[2] is not None, x))
+    assert got == [(0, 1, None, False), (0, 1, None, False), (0, 1, 9, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (9, 1, 9, True)]
+
+
+def test_neighbour_lists_are_united_by_node():
+    names = np.array([30, 10, 20])
+    got = embedding.neighbours(names, [[10, 99, 20], None, [30]])
+    assert [set(x) for x in got.tolist()] == [{1, 2}, {1}, {0, 2}]
+
+
 def test_dense_group_over_many_shards(spark, monkeypatch):
     """A third of the rows lie close together; with small shards they have many centres."""
     monkeypatch.setattr(embedding, "SHARD", 30)
@@ -285,14 +400,21 @@ def test_language_scores_are_the_kernel(spark):
 
 
 def test_url_filter(spark):
-    urls = [None, "no scheme", "http://A.example.ORG/es/1?x", "https://www.x.com/fr/", "http://x.com/a/", "http://x.com/a#z", "http://y.net", "http://x.com/a/"]
+    urls = [None, "no scheme", "http://A.example.ORG/es/1?x", "https://www.x.com/fr/", "http://x.com/a/", "http://x.com/a#z", "http://y.net", "http://x.com/a/", "http://x.com/a?id=1", "http://x.com/a?id=2#b?c", "http://x.com/a?"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    df = df.select("page_id", urlfilter.host(F.col("url")).alias("host"), urlfilter.path(F.col("url")).alias("path"))
-    df = df.withColumn("c", urlfilter.canonical(F.col("host"), F.col("path"))).withColumn("_block", F.lit(5))
-    listed = spark.createDataFrame([("x.com/a",), (None,), ("x.com/a",)], "u string")
-    got = {r.page_id: r.listed for r in urlfilter.mark_listed(df.drop("_block"), "c", listed, "u").collect()}
-    assert [got[i] for i in range(8)] == [False, False, False, False, True, True, False, True]
-    assert urlfilter.mark_listed(df.drop("_block"), "c", listed.limit(0), "u").where("listed").count() == 0
+    df = df.select("page_id", urlfilter.host(F.col("url")).alias("host"), urlfilter.path(F.col("url")).alias("path"), urlfilter.query(F.col("url")).alias("query"))
+    df = df.withColumn("c", urlfilter.canonical(F.col("host"), F.col("path"), F.col("query")))
+    assert [r.query for r in df.orderBy("page_id").collect()][8:] == ["id=1", "id=2", ""]
+    for name in ("_block", "_key", "_possible", "_k", "_c0", "_in", "_h", "_w0", "listed", "a.b"):
+        df = df.withColumn(name, F.lit(77))
+    listed = spark.createDataFrame([("x.com/a",), (None,), ("x.com/a",), ("x.com/a?id=2",)], "u string")
+    out = urlfilter.mark_listed(df, "c", listed, "u")
+    got = {r.page_id: r.listed for r in out.collect()}
+    assert [got[i] for i in range(11)] == [False, False, False, False, True, True, False, True, False, True, True]
+    assert out.columns == [c for c in df.columns if c != "listed"] + ["listed"]
+    assert all(r["_block"] == r["_key"] == r["_c0"] == r["a.b"] == 77 for r in out.collect())
+    assert urlfilter.mark_listed(df, "c", listed.limit(0), "u").where("listed").count() == 0
+    assert urlfilter.mark_listed(df.limit(0), "c", listed, "u").count() == 0
     rule, verdict = urlfilter.best_rule(F.col("host"), F.col("path"), [("allow", "org", "/"), ("block", "example.org", "/es/")])
     assert df.where("page_id = 2").select("host", rule, verdict).first()[:] == ("a.example.org", "example.org/es/", "block")
 
@@ -326,6 +448,42 @@ def test_segments_equal_brute_force():
         assert np.allclose([s for s, *_ in got], [s for s, *_ in want])
 
 
+def test_word_scores_by_hand():
+    table = {"vile": (10, 40), "vil*": (10, 40), "plain": (900, 100), "kind": (400, 5), "even": (450, 50), "rare": (0, 2)}
+    got = toxicity.log_odds(table, 900, 100)
+    prior = 20 * 50 / 1000
+    assert abs(got["vile"] - (np.log((40 + prior) / 120) - np.log((10 + prior) / 920))) < 1e-12 and got["vil*"] == got["vile"]
+    assert "plain" not in got and "even" not in got and "rare" not in got  # as frequent on both sides, or hardly seen
+    assert toxicity.DEEPEST <= got["kind"] < toxicity.DRIFT
+
+
+def test_root_of_the_extreme_value_equation():
+    p, up, down = 0.2, 1.0, -1.0  # q / p = exp(lambda) for steps of one
+    root = toxicity.extreme_lambda({up: 200, down: 800})
+    assert abs(root - np.log((1 - p) / p)) < 1e-9
+    assert toxicity.extreme_lambda({1.0: 6, -1.0: 4}) is None and toxicity.extreme_lambda({-1.0: 4}) is None and toxicity.extreme_lambda({}) is None
+
+
+def test_scores_equal_plain_arithmetic(spark):
+    """Every step of a score by brute force: word scores, all segments, expected chance segments, evidence, logistic curve."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    few = docs.where("length(text) < 900").orderBy("doc_id").limit(60)
+    got = {r.doc_id: r for r in toxicity.score(few, m, passages=True).collect()}
+    for r in few.collect():
+        w = toxicity.words(r.text.lower())
+        scores = []
+        for x in w:
+            best = max([m.weights.get(f, 0.0) for f in (x, *(x[:k] + "*" for k in range(4, 9) if len(x) >= k))])
+            scores.append(best if best > 0 else m.weights.get(x, m.drift))
+        found = brute_segments(scores)
+        each = sorted((m.lam * s - np.log(m.k * max(len(w), 1)) for s, _, _ in found), reverse=True)
+        evidence = each[0] + sum(x for x in each[1:] if x > 0) if each else 0.0
+        z = m.logit[0] + m.logit[1] * bool(each) + m.logit[2] * evidence
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert [(x["first"], x["last"]) for x in got[r.doc_id].toxic_words] == [(a, b) for _, a, b in found]
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -338,22 +496,132 @@ def test_toxicity(spark):
     assert {x.predicted for x in toxicity.score(odd(spark), None).collect()} == {0}
 
 
-def test_chat(spark):
+def test_chat_segments(spark):
     t = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", None), (1, 2, None, "c"), (None, 0, "user", "n"), (2, 0, "system", "alone")]
-    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
-    got = chat.rotate_perspectives(df)
+    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("x")).withColumn("_body", F.lit("y"))
+    got = chat.segments(df)
     assert got.where("conv_id = 1").count() == 12 and got.where("conv_id is null").count() == 1 and got.where("conv_id = 2").count() == 0
     assert got.where("train").select("conv_id", "turn", "perspective").distinct().count() == 4
-    r = got.where("conv_id = 1 and turn = 1 and perspective = 'unknown'").first()
+    r = got.where("conv_id = 1 and turn = 1 and perspective is null").first()
     assert r.segment == "<|user name=user|>\na<|end|>\n" and not r.train
+    assert chat.segments(df.limit(0)).count() == 0
+
+
+def rendered(turns, perspective):
+    """The dialogue in one view and the spans of what the assistant says, by plain loops."""
+    text, mask = "", []
+    for _, _, role, said in sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] is not None, t[2] or "", t[3] or "")):
+        name = "".join("_" if c in "|<>\r\n" else c for c in role or "")
+        head = "<|system|>" if role == "system" else "<|assistant|>" if role == perspective else "<|user|>" if role is None else f"<|user name={name}|>"
+        body = ""
+        for c in said or "":
+            run = len(body) - len(body.rstrip("\\"))
+            body += "\\|" if c == "|" and body[: len(body) - run].endswith("<") else c
+        start = len(text) + len(head) + 1
+        text += f"{head}\n{body}<|end|>\n"
+        if role == perspective:
+            mask.append((start, len(text)))
+    return text, mask
+
+
+def test_chat_dialogues(spark, monkeypatch):
+    t = [(1, 0, "system", "s"), (1, 1, "user", "a <|end|>\n<|assistant|> forged"), (1, 2, "ann", None), (1, 2, None, "c <\\| d"), (1, 70, "user", "late é"), (1, 71, "a|>\n<b", "x"), (None, 0, "user", "n"), (1, None, "ann", "when"), (2, 0, "system", "alone"), (1, 1, "user", "twice"), (1, 1, "user", "twice")]
+    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("perspective", F.lit("x")).withColumn("part", F.lit(7))
+    for rows in (chat.ROWS, 2):
+        monkeypatch.setattr(chat, "ROWS", rows)
+        got = chat.rotate_perspectives(df).collect()
+        want = {}
+        for conv in (1, None):
+            own = [x for x in t if x[0] == conv]
+            for view in {x[2] for x in own} - {"system"}:
+                for part in {x[1] and x[1] // 64 for x in own}:
+                    want[conv, view, part] = rendered([x for x in own if (x[1] and x[1] // 64) == part], view)
+        if rows == 2:  # parts of more rows are split by a hash; no segment is lost
+            assert sum(r.n_turns for r in got) == 9 * 4 + 1 and any(r.split for r in got)
+            continue
+        assert {(r.conv_id, r.perspective, r.part): (r.dialogue, [tuple(x) for x in r.mask]) for r in got} == want and len(got) == len(want)
+        assert all(r.dialogue.count("<|assistant|>") <= len(r.mask) for r in got)
+    plain = df.select("text", chat.unescaped(chat.escaped(F.col("text"))).alias("back")).collect()
+    assert all(r.text == r.back for r in plain)
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def brute_lines(rows):
+    """{(doc_id, hash): text} of rows (doc_id, hash, text) without repeated chunks and without runs of over 50 words that occurred before."""
+    seen_runs, seen_chunks, out = set(), set(), {}
+    for key, h, text in sorted({(k, h, t) for k, h, t in rows}, key=lambda r: r[:2]):
+        lines = [] if text is None else text.split("\n")
+        gone, first = np.zeros(len(lines), bool), 0
+        for c in line_chunks(text) if lines else []:
+            if len(c) >= 2:
+                gone[first : first + len(c)] |= tuple(c) in seen_chunks
+                seen_chunks.add(tuple(c))
+            first += len(c)
+        for a in range(len(lines)):
+            n, body = 0, ()
+            for b in range(a, len(lines)):
+                n, body = n + len(lines[b].split()), (*body, lines[b])
+                if n > 50:
+                    if body in seen_runs:
+                        gone[a : b + 1] = True
+                    seen_runs.add(body)
+        out[key, h] = None if text is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Every stage on what its predecessor kept, each against plain loops; with null texts and keys and clashing columns."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "byte_bpe"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    extra = [(90001, None), (90002, ""), (90003, "left alone, a text of its own"), (None, "so is this one, without an id"), (None, f"a leak: {item}"), (90004, f"another: {item}")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(k, t, None, None, len(t or "")) for k, t in extra], TEXT).select(*(F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    docs = docs.union(more).withColumn("score", F.lit(0.25)).withColumn("removed_chunks", F.lit(3)).withColumn("_text", F.lit("t")).withColumn("_row", F.lit(1)).cache()
+    rows = lambda df: sorted(((r.doc_id, r.text, r.n_chars, r.score, r.removed_chunks, r["_text"], r["_row"]) for r in df.collect()), key=str)
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = stages["toxicity"](spark, docs, SF).cache()
+    told = lambda t: model is not None and model.score(*model.segments(t, {})) >= 0.3
+    assert clean.columns == docs.columns and rows(clean) == [r for r in rows(docs) if not told(r[1])]
+
+    cut = stages["line_dedup"](spark, clean, SF).cache()
+    plain = [(r.doc_id, r.h, r.text) for r in clean.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    want = brute_lines(plain)
+    assert cut.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in cut.where("doc_id is not null").collect()) == sorted((k, want[k, h] or "") for k, h, _ in plain)
+    assert all(r.n_chars == len(r.text) for r in cut.collect() if r.text is not None) and cut.where("doc_id is null").count() == clean.where("doc_id is null").count()
+
+    single = stages["ngram_jaccard"](spark, cut, SF).cache()
+    known = sorted({(r.doc_id, r.text) for r in cut.where("doc_id is not null").collect()}, key=lambda r: (r[0], r[1] or ""))
+    roots, _ = brute_groups([t for _, t in known], 5, 80)
+    assert sorted((r.doc_id, r.text or "") for r in single.where("doc_id is not null").collect()) == sorted((k, t or "") for i, (k, t) in enumerate(known) if roots[i] == i)
+    assert single.where("doc_id is null").count() == cut.where("doc_id is null").count()
+
+    safe = stages["decontamination"](spark, single, SF).cache()
+    items = [decontaminate.words(r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def leaks(text):
+        w = decontaminate.words((text or "").lower())
+        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        return any(any(tuple(x[i : i + 3]) in grams for i in range(len(x) - 2)) and decontaminate.smith_waterman(*(np.array([hash(v) for v in y]) for y in (x, w)))[0] >= 0.55 * 2 * len(x) for x in items)
+
+    assert rows(safe) == [r for r in rows(single) if not leaks(r[1])]
+    left = {r.text for r in safe.collect()}
+    assert not any(t and item in t for t in left) and {None, "", extra[2][1], extra[3][1]} <= left
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    coded = stages["byte_bpe"](spark, safe, SF).collect()
+    ids = lambda t: enc.encode_ordinary(t or "")
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in coded), key=str) == sorted(((r.doc_id, len(ids(r.text)), hashlib.sha256(",".join(map(str, ids(r.text))).encode()).hexdigest()) for r in safe.collect()), key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    out = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.3 * docs < len(out) <= docs and len({r.doc_id for r in out}) == len(out)
 
 
