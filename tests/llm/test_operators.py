@@ -479,7 +479,7 @@ def test_scores_equal_plain_arithmetic(spark):
         found = brute_segments(scores)
         each = sorted((m.lam * s - np.log(m.k * max(len(w), 1)) for s, _, _ in found), reverse=True)
         evidence = each[0] + sum(x for x in each[1:] if x > 0) if each else 0.0
-        z = m.logit[0] + m.logit[1] * bool(each) + m.logit[2] * evidence
+        z = m.logit[0] + m.logit[1] * bool(each) + m.logit[2] * np.sign(evidence) * np.log(1 + abs(evidence))
         assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
         assert [(x["first"], x["last"]) for x in got[r.doc_id].toxic_words] == [(a, b) for _, a, b in found]
 
