@@ -16,6 +16,11 @@ SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m", "spark.sql.files.maxPartitionBytes": "32m",
 }
+#: On a mounted folder neither checksum files nor marks of success, each of which costs a process to set its rights.
+WRITE = {
+    "compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+}
 
 
 def parts(batch, column: int, rows: int, size: int = 1 << 20):
@@ -61,7 +66,7 @@ class Scratch:
         for k, v in SETTINGS.items():
             conf.set(k, v)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.options(**WRITE).parquet(path)
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
