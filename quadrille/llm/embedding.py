@@ -6,9 +6,9 @@ those of its BUILD nearest ones, so shards overlap.  Each shard builds a flat gr
 candidate neighbours pruned by the robust rule (drop a candidate that is ALPHA times
 closer to a kept neighbour than to the node) and reverse edges.  The adjacency lists
 of a node from all its shards are united.  Every node searches the shards of its
-PROBE nearest centres: greedy steps from the medoid with a beam, then range
-expansion: as long as nodes within the threshold turn up, their neighbours are
-visited too.  Whatever is returned has its cosine computed in double precision.
+PROBE nearest centres: greedy steps with a beam from the medoid, and from itself
+where it lies in the shard, then range expansion: as long as nodes within the
+threshold turn up, their neighbours are visited too.  Whatever is returned has its cosine computed in double precision.
 
 However many centres a dense group has, all of them are searched: each shard knows
 the largest angle (of at most CLOSE times the threshold's) at which one of its close
@@ -41,21 +41,31 @@ from .shared import Scratch, linked_groups
 
 #: Nodes of a shard; most centres (all are held by every task); overlap; shards searched.
 SHARD, CENTRES, BUILD, PROBE = 1500, 4096, 2, 4
-DEGREE, POOL, ALPHA, BEAM, STEPS = 16, 48, 1.2, 12, 24
+DEGREE, WIDE, POOL, ALPHA, BEAM, STEPS = 16, 6, 48, 1.2, 12, 24
 #: Nodes up to this many times the threshold's angle from their centre are found by the bound.
 CLOSE = 1.5
 
 
-def robust_graph(x: np.ndarray) -> np.ndarray:
-    """Neighbour lists (rows padded with the node itself) of unit vectors."""
+def robust_graph(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Neighbour lists (rows padded with the node itself) of unit vectors.
+
+    A node with many others within the threshold also gets WIDE of them at random:
+    pruned edges alone can leave parts of a dense group without a way to each other.
+    """
     n = len(x)
     pool = min(POOL, n - 1)
     if pool <= 0:
         return np.zeros((n, 1), np.int64)
     near = np.empty((n, pool), np.int64)
+    wide, dice = np.tile(np.arange(n)[:, None], (1, WIDE)), np.random.default_rng(n)
     for s in range(0, n, 512):
         sims = x[s : s + 512] @ x.T
         sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
+        within = sims >= threshold
+        many = np.flatnonzero(within.sum(1) > max(WIDE, DEGREE // 2))
+        if len(many):
+            turn = np.where(within[many], dice.random((len(many), n)), 2.0)
+            wide[s + many] = np.argpartition(turn, WIDE - 1, axis=1)[:, :WIDE]
         top = np.argpartition(-sims, pool - 1, axis=1)[:, :pool] if pool < n - 1 else np.argsort(-sims, axis=1)[:, :pool]
         near[s : s + 512] = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1), 1)
     out = np.full((n, 2 * DEGREE), -1, np.int64)
@@ -78,26 +88,33 @@ def robust_graph(x: np.ndarray) -> np.ndarray:
     rank = np.arange(len(target)) - np.searchsorted(target, target)
     room = rank < DEGREE
     out[target[room], DEGREE + rank[room]] = source[room]
-    return np.where(out < 0, np.arange(n)[:, None], out)
+    return np.concatenate([np.where(out < 0, np.arange(n)[:, None], out), wide], axis=1)
+
+
+def places(names: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each asked name stands in names, -1 if it does not."""
+    order = np.argsort(names)
+    at = order[np.minimum(np.searchsorted(names[order], asked), len(names) - 1)]
+    return np.where(names[at] == asked, at, -1)
 
 
 def neighbours(names: np.ndarray, lists) -> np.ndarray:
     """Adjacency lists (arrays of node names, or null) as places in names, without those that are not there; rows padded with the node itself."""
     lists = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in lists]
     row, flat = np.repeat(np.arange(len(names)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
-    order = np.argsort(names)
-    place = np.searchsorted(names[order], flat)
-    at = order[np.minimum(place, len(names) - 1)]
-    there = names[at] == flat
-    row, at = row[there], at[there]
+    at = places(names, flat)
+    row, at = row[at >= 0], at[at >= 0]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     out = np.tile(np.arange(len(names))[:, None], (1, max(1, rank.max(initial=-1) + 1)))
     out[row, rank] = at
     return out
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with similarity of at least the threshold that greedy search and range expansion reach."""
+def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with similarity of at least the threshold that greedy search and range expansion reach.
+
+    The search begins at the medoid and, where a query is itself a node (own, else -1), there as well.
+    """
     n, m = len(x), len(q)
     medoid = int(np.argmax(x @ x.mean(0)))
     seen = np.zeros((m, n), bool)
@@ -107,8 +124,11 @@ def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: flo
     done[:, 0] = False
     seen[:, medoid] = True
     rows = np.arange(m)
-    hits_q, hits_x = [np.flatnonzero(sims[:, 0] >= threshold)], []
-    hits_x.append(np.full(len(hits_q[0]), medoid))
+    inside = rows[(own >= 0) & (own != medoid)]
+    beam[inside, 1], sims[inside, 1], done[inside, 1] = own[inside], 1.0, False
+    seen[inside, own[inside]] = True
+    hits_q = [np.flatnonzero(sims[:, 0] >= threshold), inside]
+    hits_x = [np.full(len(hits_q[0]), medoid), own[inside]]
     for _ in range(STEPS):
         todo = np.where(done, -3.0, sims)
         pick = todo.argmax(1)
@@ -289,7 +309,7 @@ def links_of(nodes: DataFrame, threshold: float, scratch: Scratch) -> tuple[Data
     def graph_rows(f: pd.DataFrame) -> pd.DataFrame:
         """Adjacency lists of one shard, built by its first turn."""
         names = f["node"].to_numpy()
-        graph = robust_graph(_unit(f["v"])) if not f["close"].all() else np.zeros((len(names), 0), np.int64)
+        graph = robust_graph(_unit(f["v"]), threshold) if not f["close"].all() else np.zeros((len(names), 0), np.int64)
         return pd.DataFrame({"node": names, "near": [names[x].tolist() for x in graph]})
 
     dealt = scratch.keep(_dealt(nodes, centres, floors, parts, turns, angle))
@@ -312,7 +332,7 @@ def links_of(nodes: DataFrame, threshold: float, scratch: Scratch) -> tuple[Data
             for s in range(0, len(ask), 2000):
                 some = ask.iloc[s : s + 2000]
                 q = _unit(some["v"])
-                i, j = range_search(x, graph, q, threshold - 1e-9)
+                i, j = range_search(x, graph, q, threshold - 1e-9, places(names, some["node"].to_numpy()))
                 exact = (np.einsum("id,id->i", q[i], x[j]) >= threshold) & ~members["close"].to_numpy()[j]
                 a, b = some["node"].to_numpy()[i[exact]], names[j[exact]]
                 found.add(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], 1)
