@@ -29,9 +29,9 @@ very many texts share comes last in the order and makes blocks only of texts tha
 hold little else.  No link is lost.  The counters only bring order: collisions
 change the blocks, never the links.
 
-Each text is shingled in two scans.  The second one writes, once for each node, its
-first hashes, its sketch and the text in zstd, which takes about a third of the set's
-bytes; texts are fetched, and shingled again, only for pairs that are compared.
+Each text is shingled in three scans: for counts, for first hashes and sketches, and
+to pack the texts of nodes that share a block (in zstd, about a third of the bytes of
+their sets); those are fetched, and shingled again, only for pairs that are compared.
 Joins of blocks are merge joins at every size, so large keys can be split.
 
 Defined results: null, empty and wordless texts have an empty set and link with
@@ -184,8 +184,35 @@ def _totals(shares: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, text: str, n: int, percent: int, counts) -> DataFrame:
-    """(node, size, sigs, z, k0..) of the nodes: z is the text in zstd, k0.. the sketch; a node of several tasks has several rows."""
-    names = ["node", "size", "sigs", "z", *(f"k{i}" for i in range(SKETCH))]
+    """(node, size, sigs, k0..) of the nodes: k0.. is the sketch; a node of several tasks has several rows."""
+    names = ["node", "size", "sigs", *(f"k{i}" for i in range(SKETCH))]
+
+    def run(batches):
+        seen = set()
+        for whole in batches:
+            for batch in parts(whole, 0, TOGETHER):
+                rows = []
+                for s in shingle_sets(_texts(batch.column(0)), n):
+                    if len(s) and (node := _node(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(node)
+                        rows.append((node, len(s), first_hashes(s, counts.value, percent).view(np.int64), sketch(s)))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                bits = np.array(columns[3], np.int64).reshape(-1, SKETCH).T
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64())), *map(pa.array, bits)], names=names)
+
+    kinds = "".join(f", k{i} long" for i in range(SKETCH))
+    return docs.select(F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"node long, size int, sigs array<long>{kinds}")
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    """Distinct nodes to join with: told to all tasks if they are FEW names of 8 bytes at most, else merged."""
+    return F.broadcast(nodes) if nodes.count() <= FEW else nodes.hint("merge")
+
+
+def _packed(docs: DataFrame, text: str, n: int, nodes: DataFrame) -> DataFrame:
+    """(node, z): the texts of the nodes (distinct) in zstd, one for each."""
 
     def run(batches):
         import zstandard
@@ -199,13 +226,12 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int, counts) -> DataFra
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(node)
-                        rows.append((node, len(s), first_hashes(s, counts.value, percent).view(np.int64), pack(t), sketch(s)))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                bits = np.array(columns[4], np.int64).reshape(-1, SKETCH).T
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.binary()), *map(pa.array, bits)], names=names)
+                        rows.append((node, pack(t)))
+                columns = list(zip(*rows, strict=True)) or [()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["node", "z"])
 
-    kinds = "".join(f", k{i} long" for i in range(SKETCH))
-    return docs.select(F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, f"node long, size int, sigs array<long>, z binary{kinds}")
+    out = docs.select(F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, "node long, z binary")
+    return out.join(_few(nodes), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -291,10 +317,9 @@ class _Links:
         pairs = pairs.distinct()
         pairs = keep(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"))
         self.done = pairs if self.done is None else self.done.union(pairs)
-        # only the texts that are asked for travel; up to FEW names of 8 bytes are told to all tasks
+        # only the texts that are asked for travel
         asked = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        told = F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge")
-        texts = keep(self.texts.join(told, "node", "left_semi").dropDuplicates(["node"]))
+        texts = keep(self.texts.join(_few(asked), "node", "left_semi"))
         links = _measured(pairs, texts, self.n).where(self.linked).select("a", "b")
         by = lambda x: self.groups.select(F.col("node").alias(x), F.col("g").alias(f"g{x}"))
         new = keep(links.join(by("a"), "a").join(by("b"), "b").where("ga <> gb").select(*_ordered("ga", "gb")).distinct())
@@ -366,7 +391,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     block = _blocks(signed, percent, scratch)
     k = [f"k{i}" for i in range(SKETCH)]
     sketches = scratch.keep(signed.select("node", *k).join(block.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
-    links = _Links(signed.select("node", "z"), sketches.select("node"), n, percent, scratch)
+    scratch.drop(signed)
+    texts = scratch.keep(_packed(docs, text, n, sketches.select("node")))
+    links = _Links(texts, sketches.select("node"), n, percent, scratch)
     block = block.join(sketches.hint("merge"), "node")
 
     # each node meets the nearest one of the nodes with the fewest hashes before the block's own: this joins most groups
@@ -377,20 +404,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     leaves = _leaves(block.withColumn("home", F.lit(True)), sketches, links, percent, scratch)
 
-    def left() -> DataFrame:
+    def left(rows: DataFrame) -> DataFrame:
         """(nodex, nodey, d): the pairs of a leaf that may link and that no group holds both of."""
-        rows = _open(leaves, links, percent)
         x, y = (_named(r, by, "node", "size", "pos", "g") for r, by in ((rows.where("home"), "x"), (rows, "y")))
         return x.join(y.hint("merge"), "blk").where(F.col("gx") != F.col("gy")).where(_may_link("x", "y", percent)).select("nodex", "nodey", _apart("x", "y").alias("d"))
 
     while True:
-        best = scratch.keep(left().groupBy("nodex").agg(F.min_by("nodey", "d").alias("nodey"), F.count("*").alias("n")))
+        rows = scratch.keep(_open(leaves, links, percent))
+        leaves = rows.drop("g")  # what one group holds by now is not asked again
+        best = scratch.keep(left(rows).groupBy("nodex").agg(F.min_by("nodey", "d").alias("nodey"), F.count("*").alias("n")))
         pairs, nodes = best.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         if pairs <= PAIRS * nodes or not links.learn(best.select(*_ordered("nodex", "nodey"))):
             break
     if pairs:
-        links.learn(left().select(*_ordered("nodex", "nodey")))
-    scratch.drop(signed)
+        links.learn(left(rows).select(*_ordered("nodex", "nodey")))
     base = counted.where("part is null").select("_key", "n_shingles", "node")
     named = base.join(links.groups, "node", "left").select("_key", "n_shingles", F.coalesce("g", "node").alias("_g"))
     low = named.where("_g is not null").groupBy("_g").agg(F.min("_key").alias("_low"))
