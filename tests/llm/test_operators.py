@@ -399,6 +399,42 @@ def test_language_scores_are_the_kernel(spark):
     assert abs(k - sum(c / np.sqrt(m * n) for m, n, c in blocks)) < 1e-5
 
 
+def spectrum(text):
+    """For n = 1 to 3 the places of the character n-grams of a text, letter by letter."""
+    letters = [ord(c) if c.isalpha() or ord(c) > 169 else 32 for c in text.lower()]
+    letters = [c for i, c in enumerate(letters) if c != 32 or i == 0 or letters[i - 1] != 32]
+    out = []
+    for n in (1, 2, 3):
+        places = set()
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = ((h * 0x01000193) ^ (c * 0x9E3779B1)) & 0xFFFFFFFF
+            places.add((h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - langid.BITS))
+        out.append(places)
+    return out
+
+
+def test_language_predictions_equal_kernel_ridge_regression(spark):
+    """With fewer rows than landmarks, prediction is kernel ridge regression over all rows; here by the kernel's definition."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null and length(text) between 40 and 700").select("doc_id", "text", "lang").orderBy("doc_id").limit(60)
+    rows = docs.collect()
+    names, texts = sorted({r.lang for r in rows}), [r.text for r in rows]
+    assert len(names) > 1 and max(collections.Counter(r.lang for r in rows).values()) <= langid.LANDMARKS
+    sets = [spectrum(t) for t in texts]
+    k = np.array([[np.mean([len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for a, b in zip(x, y, strict=True)]) for y in sets] for x in sets])
+    value, vector = np.linalg.eigh(k)
+    phi = k @ (vector[:, value > 1e-8 * value[-1]] / np.sqrt(value[value > 1e-8 * value[-1]]))
+    target = np.array([[float(r.lang == n) for n in names] for r in rows])
+    centred = phi - phi.mean(0)
+    raw = centred @ np.linalg.solve(centred.T @ centred + langid.RIDGE * len(rows) * np.eye(phi.shape[1]), centred.T @ (target - target.mean(0))) + target.mean(0)
+    p = np.exp(langid.SHARP * raw)
+    p /= p.sum(1, keepdims=True)
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    for r, own in zip(rows, p, strict=True):
+        assert got[r.doc_id].lang_pred == names[own.argmax()] and abs(got[r.doc_id].score - own.max()) < 1e-3
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://A.example.ORG/es/1?x", "https://www.x.com/fr/", "http://x.com/a/", "http://x.com/a#z", "http://y.net", "http://x.com/a/", "http://x.com/a?id=1", "http://x.com/a?id=2#b?c", "http://x.com/a?"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
