@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the per-worker table of encoded pre-tokens; it is emptied when full.
+from .shared import tidy
+
+#: Entries of a task's table of encoded pre-tokens; it is emptied when full and at the task's end.
 MEMO_ENTRIES = 400_000
 #: Longer parts are not kept in that table.
 MEMO_CHARS = 48
@@ -196,6 +198,11 @@ class BytePairCodec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Empty the tables that only save time: some 180 MB when full, and filled again within a small part of a task."""
+        for table in (self.memo, self.tails, self.compatible):
+            table.clear()
+
 
 _codecs: dict[tuple[str, str], BytePairCodec] = {}
 
@@ -209,6 +216,20 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return _codecs[path, pattern]
 
 
+def _coded(run, path: str, pattern: str):
+    """run(codec, batches) as a function of batches that leaves no filled tables in the worker."""
+
+    @tidy
+    def coded(batches):
+        c = codec(path, pattern)
+        try:
+            yield from run(c, batches)
+        finally:
+            c.forget()
+
+    return coded
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 512):
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
@@ -221,14 +242,13 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     kept = [c for c in docs.columns if c != into]
     schema = StructType([*(docs.schema[c] for c in kept), StructField(into, ArrayType(IntegerType()))])
 
-    def run(batches):
-        c = codec(path, pattern)
+    def run(c, batches):
         for whole in batches:
             for batch in _slices(whole):
                 ids = [c.encode(t) if t else [] for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, into])
 
-    return docs.select(F.col(text).alias("_read"), *kept).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("_read"), *kept).mapInArrow(_coded(run, path, pattern), schema)
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -238,14 +258,13 @@ def decode_column(docs: DataFrame, path: str, pattern: str, ids: str = "token_id
     kept = [c for c in docs.columns if c != into]
     schema = StructType([*(docs.schema[c] for c in kept), StructField(into, BinaryType())])
 
-    def run(batches):
-        c = codec(path, pattern)
+    def run(c, batches):
         for whole in batches:
             for batch in _slices(whole):
                 back = [c.decode(x or ()) for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(back, pa.binary())], names=[*kept, into])
 
-    return docs.select(F.col(ids).alias("_read"), *kept).mapInArrow(run, schema)
+    return docs.select(F.col(ids).alias("_read"), *kept).mapInArrow(_coded(run, path, pattern), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,8 +274,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     bytes that decoding those ids gives.
     """
 
-    def run(batches):
-        c = codec(path, pattern)
+    def run(c, batches):
         memo, code, chunks, token = c.memo, c.code, c.chunks, c.bytes.__getitem__
         sha = hashlib.sha256
         for whole in batches:
@@ -272,4 +290,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_coded(run, path, pattern), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -58,6 +59,22 @@ def test_bpe_with_a_token_that_ends_in_a_space(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_leaves_no_filled_tables_in_idle_workers(spark, docs):
+    def tables(batches):
+        for _ in batches:
+            pass
+        from quadrille.llm import bpe as own
+
+        n = [len(t) for c in own._codecs.values() for t in (c.memo, c.tails, c.compatible)]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+
+    made = [bpe.round_trip(docs, PATH, P.PATTERN), bpe.decode_column(bpe.encode_column(docs, PATH, P.PATTERN), PATH, P.PATTERN), bpe.encode_column(docs, PATH, P.PATTERN).limit(1)]
+    for df in made:
+        df.collect()
+        left = [r.n for r in spark.range(0, 64, 1, 4).mapInArrow(tables, "n long").collect()]  # by the same workers
+        assert left and not any(left)
+
+
 def test_bpe_takes_linear_time(spark):
     c = bpe.codec(PATH, P.PATTERN)
 
